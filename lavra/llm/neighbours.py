@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialize, table
+from .sample import bounded_sample
 
 #: The length of each model's vectors.
 DIMENSIONS = {"m-base": 96, "m-mini": 64}
@@ -185,7 +186,7 @@ def search(spark: SparkSession, reps: DataFrame, k: int = K) -> DataFrame:
     counts = {r["model"]: r["n"] for r in reps.groupBy("model").agg(F.count("*").alias("n")).collect()}
     indexes: dict[str, Index] = {}
     for model, n in counts.items():
-        sample = reps.filter(F.col("model") == model).orderBy(F.xxhash64("rep", F.lit(7)), "rep").limit(SAMPLE).select("v").toArrow()
+        sample = bounded_sample(reps.filter(F.col("model") == model).select("rep", "v"), "rep", SAMPLE, 7, ["rep"], n).select("v").toArrow()
         indexes[model] = fit(_matrix(sample.column("v")), n)
     shared = spark.sparkContext.broadcast(indexes)  # lists are at most 1,024 a model
 

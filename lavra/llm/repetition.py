@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from ..session import materialize, table
 from .encode import slices
 from .gbt import FlatTrees, train
+from .sample import bounded_sample
 
 SHARE = 0.35
 RUN_WORDS, RUN_CHARS = 8, 20
@@ -145,7 +146,7 @@ def repetition_statistics(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def fit(stats: DataFrame, key: str, sample: int = SAMPLE) -> FlatTrees:
     """Trees fitted on at most ``sample`` rows, taken by hash of the key."""
-    rows = stats.orderBy(F.xxhash64(F.col(key).cast("string"), F.lit(10)), key).limit(sample).select(*FEATURES).toPandas().to_numpy()
+    rows = bounded_sample(stats, key, sample, 10, [key, *FEATURES]).select(*FEATURES).toPandas().to_numpy()
     return train(rows, (rows[:, 0] >= SHARE).astype(float), MONOTONE) if len(rows) else train(np.zeros((0, len(FEATURES))), np.zeros(0), MONOTONE)
 
 
