@@ -7,6 +7,10 @@ from importlib import import_module
 MODULES = [
     "lavra.operators.csv_rejects",
     "lavra.operators.packed_values",
+    "lavra.plans.catalog",
+    "lavra.plans.texts",
+    "lavra.plans.retrieval",
+    "lavra.plans.evaluation",
 ]
 
 

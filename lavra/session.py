@@ -18,7 +18,7 @@ DEFAULTS = {
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str = "lavra") -> SparkSession:
     """A local session for tests and benchmarks; on a cluster the caller brings its own."""
-    b = SparkSession.builder.master(f"local[{cores}]").appName(app).config("spark.driver.memory", "8g")
+    b = SparkSession.builder.master(f"local[{cores}]").appName(app).config("spark.driver.memory", "8g").config("spark.ui.showConsoleProgress", "false")
     for k, v in DEFAULTS.items():
         b = b.config(k, v)
     spark = b.config("spark.sql.shuffle.partitions", shuffle_partitions).getOrCreate()
