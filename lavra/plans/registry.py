@@ -11,6 +11,9 @@ MODULES = [
     "lavra.plans.texts",
     "lavra.plans.retrieval",
     "lavra.plans.evaluation",
+    "lavra.operators.answers",
+    "lavra.operators.ingest",
+    "lavra.streaming.jobs",
 ]
 
 
