@@ -22,6 +22,8 @@ QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 #: Parameters of the ranking functions and of selection.
 K1, B, WEIGHT_TEXT, WEIGHT_PREFIX = 1.2, 0.75, 1.0, 0.5
+#: Rows of all workspaces together that make one block of an exact vector search.
+BLOCK_ROWS = 20_000
 CANDIDATES, RRF_K, TOP_K, BUDGET, MAX_CHARS = 30, 1, 12, 28000, 1600
 
 
@@ -106,11 +108,11 @@ def exact_knn(spark: SparkSession, queries: DataFrame, vectors: DataFrame, k: in
     Queries and vectors meet by workspace in blocks of bounded size; each block
     gives k rows a query. Vectors of other lengths than the query's do not count.
     """
-    blocks = 16
-    a = queries.select("qid", "workspace_id", "q", F.pmod(F.xxhash64("qid"), F.lit(4)).alias("qb"))
+    blocks, asking = -(-vectors.count() // BLOCK_ROWS) or 1, -(-queries.count() // BLOCK_ROWS) or 1
+    a = queries.select("qid", "workspace_id", "q", F.pmod(F.xxhash64("qid"), F.lit(asking)).alias("qb"))
     b = vectors.select("workspace_id", "rowid", "v", F.pmod(F.xxhash64("rowid"), F.lit(blocks)).alias("vb"))
     left = a.withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
-    right = b.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(3)).cast("array<bigint>")))
+    right = b.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(asking - 1)).cast("array<bigint>")))
 
     def near(keys, x: pa.Table, y: pa.Table) -> pa.Table:
         out = {"qid": [], "rowid": [], "dist": []}
