@@ -42,7 +42,7 @@ MEMBER_SALTS = 64
 def lists_for(n: int) -> tuple[int, int]:
     """Coarse lists and lists a query probes, for ``n`` vectors."""
     lists = int(np.clip(np.sqrt(n) / 3.5, 1, 1024))
-    return lists, min(lists, max(6, -(-lists // 12)))
+    return lists, min(lists, max(6, -(-lists // 16)))
 
 
 @dataclass
