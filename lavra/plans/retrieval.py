@@ -280,10 +280,26 @@ _FW = "list_filter(regexp_split_to_array(regexp_replace(strip_accents(lower(text
  n as (select document_id, count(*) n from c group by 1), f as (select document_id, w, count(distinct rowid) df, count(*) tf from t group by 1,2)
  select document_id, w as term, round(tf*ln((n+1.0::double)/(df+1)),6) as weight from f join n using (document_id) where n>df qualify row_number() over (partition by document_id order by weight desc, w)<=8""")
 def feedback_terms(spark, d):
-    """The eight terms of each document that set its chunks apart: frequency times ln((n + 1) / (df + 1))."""
-    c = chunks_of(spark, d).filter(F.col("text").isNotNull() & ~F.col("text").rlike("[^\\x00-ɏ‐-—“”…•]"))
+    """``distinctive_terms`` of the Latin-script chunks, as the SQL has them; ``feedback_terms_all`` leaves no chunk out."""
+    return distinctive_terms(table(spark, d, "chunks").filter(F.col("text").isNotNull() & ~F.col("text").rlike("[^\\x00-ɏ‐-—“”…•]")))
+
+
+@query()
+def feedback_terms_all(spark, d):
+    """``distinctive_terms`` of all chunks with text, whatever their script (tests hold them against brute force)."""
+    return distinctive_terms(table(spark, d, "chunks").filter("text is not null"))
+
+
+def distinctive_terms(chunks: DataFrame) -> DataFrame:
+    """The eight terms of each document that set its chunks apart: frequency times ln((n + 1) / (df + 1)).
+
+    Chunks travel by blocks of neighbouring rowids, which mostly are of one
+    document, so that its terms add up before they are shuffled.
+    """
+    block = F.floor(F.col("rowid") / 64)
+    c = chunks.select("document_id", "rowid", "text", block.alias("block")).repartition("block").dropDuplicates(["block", "rowid"])
     w = F.filter(words(fold(F.col("text")), 4), lambda t: ~t.rlike(r"^\d+$") & ~among(t, FEEDBACK_STOP_WORDS))
-    t = c.select("document_id", "rowid", F.explode(w).alias("term")).groupBy("document_id", "term", "rowid").agg(F.count("*").alias("k")).groupBy("document_id", "term").agg(F.count("*").alias("df"), F.sum("k").alias("tf"))
+    t = c.select("document_id", "block", "rowid", F.explode(w).alias("term")).groupBy("document_id", "term", "block", "rowid").agg(F.count("*").alias("k")).groupBy("document_id", "term").agg(F.count("*").alias("df"), F.sum("k").alias("tf"))
     n = c.groupBy("document_id").agg(F.count("*").alias("n"))
     weight = F.round(F.col("tf") * F.log((F.col("n") + 1.0) / (F.col("df") + 1)), 6)
     r = t.join(n, "document_id").filter("n > df").select("document_id", "term", weight.alias("weight"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import LABEL, abstains, claim_tokens, extract_values, fold, index_tokens, item_covers, number_variants, query_phrases, words  # noqa: F401
@@ -30,8 +31,18 @@ def folded_headings(spark, d):
 @query(f"""select token, count(*) as df, sum(n) as tf from (select rowid, token, count(*) n from (select rowid, unnest(list_filter(regexp_split_to_array({_FOLD.format("coalesce(text,'')")}, '[^\\p{{L}}\\p{{N}}]+'),
           lambda w: w<>'')) as token from (select distinct rowid, text from chunks where not regexp_matches(coalesce(text,''), '[^\\x00-ɏ‐-—“”…•]'))) group by rowid, token) group by token""")
 def lexicon(spark, d):
-    """Terms of the Latin-script chunks with document and term frequency (other scripts differ between engines in their marks)."""
-    c = table(spark, d, "chunks").filter(~F.coalesce("text", F.lit("")).rlike("[^\\x00-ɏ‐-—“”…•]")).select("rowid", "text").distinct()
+    """Terms of the Latin-script chunks with document and term frequency, as the SQL has them; ``lexicon_all`` leaves no chunk out."""
+    return term_counts(table(spark, d, "chunks").filter(~F.coalesce("text", F.lit("")).rlike("[^\\x00-ɏ‐-—“”…•]")))
+
+
+@query()
+def lexicon_all(spark, d):
+    """Terms of all chunks, whatever their script, with document and term frequency (tests hold them against a brute-force count)."""
+    return term_counts(table(spark, d, "chunks"))
+
+
+def term_counts(chunks: DataFrame) -> DataFrame:
+    c = chunks.select("rowid", "text").distinct()
     t = c.select("rowid", F.explode(index_tokens(F.col("text"))).alias("token")).groupBy("rowid", "token").agg(F.count("*").alias("n"))
     return t.groupBy("token").agg(F.count("*").alias("df"), F.sum("n").alias("tf"))
 
