@@ -120,9 +120,9 @@ ORACLE: dict[str, str] = {}
 
 def _answers(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Gold answers that cite the chunks of their expected item, and all chunks of the item's workspace section as context."""
-    from ..plans.texts import expected_item_chunks
+    from ..plans.texts import expected_item_chunks_all
 
-    pairs = expected_item_chunks(spark, d)
+    pairs = expected_item_chunks_all(spark, d)
     c = table(spark, d, "chunks").select("rowid", "label", "text").dropDuplicates(["rowid"])
     context = pairs.join(c, "rowid").select(F.col("row_id").alias("aid"), "label", "text")
     first = context.groupBy("aid").agg(F.min("label").alias("label"))

@@ -82,13 +82,17 @@ def leaf_parents(spark, d):
     return c.select("document_id", "chunk_set_id", "parent_label", F.col("rowid").alias("leaf")).join(p, ["document_id", "chunk_set_id", "parent_label"]).select("leaf", "parent", "parent_kind").distinct()
 
 
+def workspace_keys(spark: SparkSession, d: str) -> DataFrame:
+    """``key, workspace_id``: what a workspace may be called by, its id, name or call code; of equal keys the last wins."""
+    keys = table(spark, d, "workspaces").select(F.col("id").alias("ws"), F.posexplode(F.array("id", "name", "call_code")).alias("o", "key")).filter("key is not null")
+    return keys.groupBy("key").agg(F.max_by("ws", F.struct("o", "ws")).alias("workspace_id"))
+
+
 @query("""with k as (select id, ws from (select call_code id, id ws, 2 o from workspaces union all select name, id, 1 from workspaces union all select id, id, 0 from workspaces)
             where id is not null qualify row_number() over (partition by id order by o desc, ws desc)=1)
           select distinct n.row_id, k.ws as workspace_id, k.ws is null as unknown from nucleo n left join k on k.id=n.workspace""")
 def question_workspaces(spark, d):
-    w = table(spark, d, "workspaces")
-    keys = w.select(F.col("id").alias("ws"), F.posexplode(F.array("id", "name", "call_code")).alias("o", "key")).filter("key is not null")
-    last = keys.groupBy("key").agg(F.max_by("ws", F.struct("o", "ws")).alias("workspace_id"))
+    last = workspace_keys(spark, d)
     q = table(spark, d, "nucleo").select("row_id", "workspace").distinct()
     return q.join(last, q.workspace == last.key, "left").select("row_id", "workspace_id", F.col("workspace_id").isNull().alias("unknown"))
 

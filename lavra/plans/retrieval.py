@@ -16,7 +16,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions.text import FEEDBACK_STOP_WORDS, TITLE_STOP_WORDS, among, fold, index_tokens, query_phrases, words
 from ..session import materialize, table
-from .catalog import retrievable
+from .catalog import retrievable, workspace_keys
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -42,8 +42,8 @@ def chunks_of(spark: SparkSession, d: str) -> DataFrame:
 
 
 def questions_of(spark: SparkSession, d: str) -> DataFrame:
-    """Questions with the workspace they ask, those without one left out."""
-    w = table(spark, d, "workspaces").filter("call_code is not null").select(F.col("call_code").alias("workspace"), F.col("id").alias("workspace_id"))
+    """Questions with the workspace they ask by its id, name or call code; those that name no known one left out."""
+    w = workspace_keys(spark, d).withColumnRenamed("key", "workspace")
     return table(spark, d, "nucleo").filter("question is not null").select("row_id", "workspace", "question").distinct().join(w, "workspace").select(F.col("row_id").alias("qid"), "workspace_id", "question")
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import LABEL, abstains, claim_tokens, extract_values, fold, index_tokens, item_covers, number_variants, query_phrases, words  # noqa: F401
 from ..session import table
+from .catalog import workspace_keys
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -95,9 +96,19 @@ def abstaining_messages(spark, d):
 @query("""select distinct n.row_id, c.rowid from nucleo n join workspaces w on w.call_code=n.workspace join chunks c on c.workspace_id=w.id and c.item_number is not null
           where n.expected_item is not null and n.expected_item<>'' and (c.item_number=n.expected_item or starts_with(c.item_number, n.expected_item||'.') or starts_with(n.expected_item, c.item_number||'.'))""")
 def expected_item_chunks(spark, d):
+    """Chunks of the expected items of questions that name their workspace by call code, as the SQL does; ``expected_item_chunks_all`` takes id and name too."""
+    return item_chunks(spark, d, table(spark, d, "workspaces").select(F.col("call_code").alias("workspace"), F.col("id").alias("workspace_id")))
+
+
+@query()
+def expected_item_chunks_all(spark, d):
+    """Chunks of the expected item of every question whose workspace is known by id, name or call code (tests hold them against brute force)."""
+    return item_chunks(spark, d, workspace_keys(spark, d).withColumnRenamed("key", "workspace"))
+
+
+def item_chunks(spark: SparkSession, d: str, w: DataFrame) -> DataFrame:
     # the item's first number is equal on both sides, so it joins
     n = table(spark, d, "nucleo").filter("expected_item <> ''").select("row_id", "workspace", "expected_item").distinct()
-    w = table(spark, d, "workspaces").select(F.col("call_code").alias("workspace"), F.col("id").alias("workspace_id"))
     head = lambda c: F.split_part(c, F.lit("."), F.lit(1))
     c = table(spark, d, "chunks").filter("item_number is not null").select("rowid", "workspace_id", "item_number").distinct().withColumn("head", head(F.col("item_number")))
     q = n.join(w, "workspace").withColumn("head", head(F.col("expected_item")))

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from lavra.functions.text import FEEDBACK_STOP_WORDS
+from lavra.operators import answers
 from lavra.plans import retrieval, texts
 
 DATA = "/root/testdata/sf0.01"
@@ -68,3 +69,35 @@ def test_feedback_terms_all_rank_every_script(spark, scripts, data):
         ranked = sorted((-round(tf[w] * math.log((len(counts) + 1) / (df[w] + 1)), 6), w) for w in tf if len(counts) > df[w])
         want |= {(doc, w, -x) for x, w in ranked[:8]}
     assert {(r["document_id"], r["term"], r["weight"]) for r in retrieval.QUERIES["feedback_terms_all"](spark, d).collect()} == want
+
+
+def known_workspaces(spark, d):
+    """What each workspace is called by; a call code goes before a name, a name before an id, and the last id wins."""
+    keys = {}
+    w = sorted(spark.read.parquet(f"{d}/workspaces.parquet").collect(), key=lambda r: r["id"])
+    for field in ("id", "name", "call_code"):
+        keys |= {r[field]: r["id"] for r in w if r[field] is not None}
+    return keys
+
+
+def test_questions_name_their_workspace_by_any_key(spark):
+    keys = known_workspaces(spark, DATA)
+    asked = {(r["row_id"], r["workspace"]) for r in spark.read.parquet(f"{DATA}/nucleo.parquet").filter("question is not null").select("row_id", "workspace").collect()}
+    want = {(row, keys[w]) for row, w in asked if w in keys}
+    by_code = {r["call_code"] for r in spark.read.parquet(f"{DATA}/workspaces.parquet").collect()}
+    assert any(w not in by_code for _, w in asked if w in keys)
+    assert {(r["qid"], r["workspace_id"]) for r in retrieval.questions_of(spark, DATA).collect()} == want
+
+
+def test_grounding_context_of_every_question(spark):
+    keys = known_workspaces(spark, DATA)
+    chunks = defaultdict(set)
+    for r in spark.read.parquet(f"{DATA}/chunks.parquet").filter("item_number is not null").select("rowid", "workspace_id", "item_number").collect():
+        chunks[r["workspace_id"]].add((r["rowid"], r["item_number"]))
+    want = set()
+    for r in spark.read.parquet(f"{DATA}/nucleo.parquet").filter("expected_item <> ''").select("row_id", "workspace", "expected_item").collect():
+        x = r["expected_item"]
+        want |= {(r["row_id"], rowid) for rowid, i in chunks[keys.get(r["workspace"])] if i == x or i.startswith(x + ".") or x.startswith(i + ".")}
+    assert {(r["row_id"], r["rowid"]) for r in texts.QUERIES["expected_item_chunks_all"](spark, DATA).collect()} == want
+    _, context = answers._answers(spark, DATA)
+    assert {r["aid"] for r in context.select("aid").distinct().collect()} == {row for row, _ in want}
