@@ -184,20 +184,28 @@ def _lexical_lists(spark, d):
     return materialize(spark, bm25_search(spark, d).select("qid", "rowid", "rank"), "lists")
 
 
+def dense_lists(spark: SparkSession, lists: DataFrame, vectors: DataFrame, scope: DataFrame) -> DataFrame:
+    """``qid, rowid, rank``: for each question the neighbours, among the embedded chunks in scope, of its best lexical hit that has a vector.
+
+    The hit stands in for the question, whose embedding comes from outside.
+    """
+    hits = lists.join(vectors.select("rowid"), "rowid").groupBy("qid").agg(F.min_by("rowid", "rank").alias("rowid"))
+    asked = materialize(spark, hits.join(vectors, "rowid").select("qid", "workspace_id", F.col("v").alias("q")), "asked")
+    inside = materialize(spark, vectors.join(scope.filter("embed").select("rowid"), "rowid", "left_semi"), "inside")
+    return exact_knn(spark, asked, inside, CANDIDATES).select("qid", "rowid", "rank")
+
+
 @query()
 def hybrid_retrieval(spark, d):
     """Fused candidates of every question with identifier boost, quota and budget: the context in final order.
 
-    The second list of a question are the neighbours of its best lexical hit, as
-    question embeddings come from outside.
+    The second list of a question is that of ``dense_lists``.
     """
     lists = _lexical_lists(spark, d)
     v = _clean_vectors(spark, d)
-    q = lists.filter("rank = 1").join(v, "rowid").select("qid", "workspace_id", F.col("v").alias("q"))
-    q = materialize(spark, q, "asked")
-    dense = exact_knn(spark, q, v, CANDIDATES).select("qid", "rowid", "rank")
-    fused = rrf(lists.withColumn("list_no", F.lit(0)).unionByName(dense.withColumn("list_no", F.lit(1))))
     scope = scope_of(spark, d)
+    dense = dense_lists(spark, lists, v, scope)
+    fused = rrf(lists.withColumn("list_no", F.lit(0)).unionByName(dense.withColumn("list_no", F.lit(1))))
     rows = fused.join(scope.select("rowid", "document_id", "precedence", "doc_kind", "doc_type", "item_number", "text", "char_count"), "rowid")
     from ..functions.text import IDENTIFIER
 
