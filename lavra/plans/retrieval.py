@@ -102,15 +102,16 @@ def unit(v):
     return F.transform(v, lambda x: x.cast("double"))
 
 
-def exact_knn(spark: SparkSession, queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """``qid, rowid, dist, rank``: the k nearest vectors of the query's workspace by Euclidean distance.
+def exact_knn(spark: SparkSession, queries: DataFrame, vectors: DataFrame, k: int, within: tuple[str, ...] = ("workspace_id",)) -> DataFrame:
+    """``qid, rowid, dist, rank`` and the columns ``within``: the k nearest vectors by Euclidean distance that agree with the query in these.
 
-    Queries and vectors meet by workspace in blocks of bounded size; each block
+    Queries and vectors meet by these columns in blocks of bounded size; each block
     gives k rows a query. Vectors of other lengths than the query's do not count.
     """
     blocks, asking = -(-vectors.count() // BLOCK_ROWS) or 1, -(-queries.count() // BLOCK_ROWS) or 1
-    a = queries.select("qid", "workspace_id", "q", F.pmod(F.xxhash64("qid"), F.lit(asking)).alias("qb"))
-    b = vectors.select("workspace_id", "rowid", "v", F.pmod(F.xxhash64("rowid"), F.lit(blocks)).alias("vb"))
+    own = [F.col(c).alias(c) for c in within]  # columns apart from those of the vectors, where both come from one table
+    a = queries.select("qid", *own, "q", F.pmod(F.xxhash64("qid"), F.lit(asking)).alias("qb"))
+    b = vectors.select(*within, "rowid", "v", F.pmod(F.xxhash64("rowid"), F.lit(blocks)).alias("vb"))
     left = a.withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
     right = b.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(asking - 1)).cast("array<bigint>")))
 
@@ -126,11 +127,12 @@ def exact_knn(spark: SparkSession, queries: DataFrame, vectors: DataFrame, k: in
                         dist = np.sqrt(((m - np.array(q, dtype=np.float64)) ** 2).sum(axis=1))
                         for j in np.lexsort((at, dist))[:k]:
                             out["qid"].append(qid), out["rowid"].append(int(at[j])), out["dist"].append(float(dist[j]))
-        return pa.table(out, schema=pa.schema([("qid", pa.int64()), ("rowid", pa.int64()), ("dist", pa.float64())]))
+        shared = {c: [key.as_py()] * len(out["qid"]) for c, key in zip(within, keys)}
+        return pa.table(out | shared, schema=pa.schema([("qid", pa.int64()), ("rowid", pa.int64()), ("dist", pa.float64()), *((c, pa.string()) for c in within)]))
 
-    keys = ["workspace_id", "qb", "vb"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(near, "qid bigint, rowid bigint, dist double")
-    return found.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.round("dist", 9), "rowid"))).filter(F.col("rank") <= k)
+    keys = [*within, "qb", "vb"]
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(near, "qid bigint, rowid bigint, dist double" + "".join(f", {c} string" for c in within))
+    return found.withColumn("rank", F.row_number().over(W.partitionBy(*within, "qid").orderBy(F.round("dist", 9), "rowid"))).filter(F.col("rank") <= k)
 
 
 def _clean_vectors(spark, d):
@@ -146,12 +148,34 @@ _VEC = """v as (select chunk_rowid rowid, max(workspace_id) workspace_id, max(em
 @query(f"""with {_VEC}, s as (select q.rowid qid, c.rowid, list_distance(q.v::double[], c.v::double[]) dist from v q join v c on q.workspace_id=c.workspace_id where q.rowid%20=0)
  select qid, rowid, round(dist,5) as dist, row_number() over (partition by qid order by round(dist,9), rowid) as rank from s qualify rank<=10""")
 def knn_search(spark, d):
-    """The ten nearest vectors of the same workspace for every query vector (ids divisible by 20), against all."""
+    """The ten nearest m-base vectors of the same workspace for every m-base query vector (ids divisible by 20), as the SQL has it; ``knn_search_all`` takes every model."""
     v = _clean_vectors(spark, d)
     q = v.filter("rowid % 20 = 0").select(F.col("rowid").alias("qid"), "workspace_id", F.col("v").alias("q"))
     return exact_knn(spark, q, v, 10).select("qid", "rowid", F.round("dist", 5).alias("dist"), "rank")
 
 
+def model_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """``rowid, model_id, workspace_id, v``: the whole, finite vectors that are not all zero of every model, one a chunk and model, the last written.
+
+    A model's length is the one most of its vectors have.
+    """
+    v = F.col("embedding")
+    good = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
+    t = table(spark, d, "vec0").filter(F.col("chunk_rowid").isNotNull() & F.col("workspace_id").isNotNull() & F.col("model_id").isNotNull() & good).withColumn("n", F.size(v))
+    own = t.groupBy("model_id", "n").agg(F.count("*").alias("c")).groupBy("model_id").agg(F.max_by("n", F.struct("c", "n")).alias("n"))
+    last = F.max_by(F.struct("workspace_id", "embedding"), F.struct("created_at", "embedding"))
+    rows = t.join(own, ["model_id", "n"], "left_semi").groupBy(F.col("chunk_rowid").alias("rowid"), "model_id").agg(last.alias("x"))
+    return rows.select("rowid", "model_id", "x.workspace_id", F.col("x.embedding").alias("v"))
+
+
+@query()
+def knn_search_all(spark, d):
+    """The ten nearest vectors of the same workspace and model for every query vector (ids divisible by 20) of every model (tests hold them against brute force)."""
+    v = materialize(spark, model_vectors(spark, d), "vectors")
+    q = v.filter("rowid % 20 = 0").select(F.col("rowid").alias("qid"), "model_id", "workspace_id", F.col("v").alias("q"))
+    return exact_knn(spark, q, v, 10, ("workspace_id", "model_id")).select("qid", "model_id", "rowid", F.round("dist", 5).alias("dist"), "rank")
+
+
 def rrf(lists: DataFrame, k: int = RRF_K) -> DataFrame:
     """``qid, rowid, rrf``: sum of 1 / (k + rank) over all lists, added in the order of the lists."""
     terms = F.array_sort(F.collect_list(F.struct("list_no", (1.0 / (k + F.col("rank"))).alias("t"))))

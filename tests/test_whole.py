@@ -5,6 +5,7 @@ import re
 import unicodedata
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from lavra.functions.text import FEEDBACK_STOP_WORDS
@@ -111,3 +112,20 @@ def test_dense_list_is_cut_to_the_scope_before_the_search(spark):
     lists = spark.createDataFrame([(1, 9, 1), (1, 10, 2), (2, 9, 1)], "qid bigint, rowid bigint, rank int")
     got = sorted((r["rank"], r["qid"], r["rowid"]) for r in retrieval.dense_lists(spark, lists, vectors, scope).collect())
     assert got == [(1, 1, 10)] + [(i + 2, 1, 200 + i) for i in range(29)]
+
+
+def test_knn_search_all_covers_every_model(spark):
+    spaces = defaultdict(dict)
+    rows = {(r["chunk_rowid"], r["workspace_id"], r["model_id"], tuple(r["embedding"])) for r in spark.read.parquet(f"{DATA}/vec0.parquet").filter("embedding is not null").collect()}
+    length = {"m-base": 96, "m-mini": 64}
+    for rowid, w, model, v in rows:
+        if len(v) == length[model] and all(x is not None and math.isfinite(x) for x in v) and any(v):
+            spaces[w, model][rowid] = np.array(v, dtype=np.float64)
+    want = {}
+    for (_, model), vs in spaces.items():
+        for qid in (r for r in vs if r % 20 == 0):
+            near = sorted((round(float(np.sqrt(((v - vs[qid]) ** 2).sum())), 9), rowid) for rowid, v in vs.items())[:10]
+            want |= {(qid, model, i + 1, rowid): x for i, (x, rowid) in enumerate(near)}
+    assert {m for _, m, *_ in want} == {"m-base", "m-mini"}
+    got = {(r["qid"], r["model_id"], r["rank"], r["rowid"]): r["dist"] for r in retrieval.QUERIES["knn_search_all"](spark, DATA).collect()}
+    assert got == pytest.approx(want, abs=1e-5)
