@@ -108,7 +108,43 @@ def test_rejects_in_order_of_reasons(spark):
     ("plano x, deve publicar", ["plano x, deve publicar"]), ('["a, b", "c"]', ["a, b", "c"]), (";; x ;", ["x"]), ("a/b", ["a/b"]), ("", []), (None, []), ("'a' ; 'b'", ["a", "b"]), ("copo d'água|b", ["copo d'água", "b"]),
 ])
 def test_divide(text, want):
-    assert packed_values.divide(text, np.full(packed_values.BUCKETS, np.inf)) == want
+    assert packed_values.divide(text, packed_values.Model()) == want
+
+
+def test_commas_divide_what_the_column_knows(spark):
+    """Words that stand alone elsewhere are divided at commas; text that does not is not; bullets are delimiters."""
+    rows = [(i, v) for i, v in enumerate(["alfa", "beta", "gama", "alfa|beta", "gama;alfa", "beta\nplano x"] * 4 + ["alfa, beta, gama", "plano x, que se amplia", "• alfa  •beta • plano x", "12,5%, 7,5%", "3%,4%"])]
+    got = {}
+    for r in packed_values.split_values(spark, spark.createDataFrame(rows, "k long, v string"), "k", "v").orderBy("k", "pos").collect():
+        got.setdefault(r["k"], []).append(r["val"])
+    assert [got[k] for k in range(24, 29)] == [["alfa", "beta", "gama"], ["plano x, que se amplia"], ["alfa", "beta", "plano x"], ["12,5%", "7,5%"], ["3%", "4%"]]
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_expected_counts_and_best_path_against_all_divisions(seed):
+    """Forward-backward and Viterbi against the sum and the best of all divisions of short fields."""
+    rng = np.random.default_rng(seed)
+    counts = np.zeros((2, packed_values.BUCKETS), dtype=np.float32)
+    for v in ["a", "b", "a, b", "0%", "0,0%"]:
+        x, y = packed_values.buckets(v)
+        counts[0, x] = counts[1, y] = rng.integers(1, 50)
+    model = packed_values.Model(counts)
+    text = ", ".join(rng.choice(["a", "b", "7,5%", "3%", "c"], 4))
+    piece = packed_values.lattices(text)[0]
+    n = len(piece.contexts) + 1
+    by_edge = {(i, j): c for i, j, c in model.edges(piece)}
+    paths = []
+    for mask in range(1 << (n - 1)):
+        nodes = [0, *(k + 1 for k in range(n - 1) if mask >> k & 1), n]
+        c = [by_edge.get(e, math.inf) for e in zip(nodes, nodes[1:])]
+        paths.append((sum(c), nodes))
+    total = -np.logaddexp.reduce([-c for c, _ in paths])
+    values, signs = {}, {}
+    assert math.isclose(packed_values.expected(piece, model, 1.0, values, signs), -total, rel_tol=1e-9)
+    want = sum(math.exp(total - c) * (len(nodes) - 1) for c, nodes in paths)
+    assert math.isclose(sum(values.values()), want, rel_tol=1e-4)
+    best = min(paths)[1]
+    assert packed_values.divide(text, model) == [packed_values.unwrap(piece.value(i, j)) for i, j in zip(best, best[1:])]
 
 
 def test_split_values_of_an_empty_and_a_dirty_table(spark):
