@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialize, table
+from ..session import materialize, spread, table
 
 #: Buckets of value shapes in each of two hash rows; a shape's count is the lesser of its two.
 BUCKETS = 1 << 20
@@ -253,7 +253,7 @@ def learn(spark: SparkSession, df: DataFrame, text: str) -> Model:
     doubtful: repeating a list makes it no likelier a value. What comes back from
     a round has at most 2 x BUCKETS rows and one for each context and partition.
     """
-    fields = materialize(spark, df.filter(F.col(text).isNotNull()).groupBy(F.col(text).alias("t")).agg(F.count("*").alias("n")), "fields")
+    fields = spread(spark, materialize(spark, df.filter(F.col(text).isNotNull()).groupBy(F.col(text).alias("t")).agg(F.count("*").alias("n")), "fields"), "t")
     model, before = Model(), None
     for _ in range(ROUNDS):
         shared = spark.sparkContext.broadcast((model.counts, model.divides))
@@ -296,7 +296,7 @@ def split_values(spark: SparkSession, df: DataFrame, key: str, text: str) -> Dat
     from 1. Other columns are not read. The time of a field grows with the
     square of the doubtful delimiters between two certain ones.
     """
-    rows = df.select(key, text).distinct()
+    rows = spread(spark, df.select(key, text), key, text).distinct()
     model = learn(spark, df, text)
     shared = spark.sparkContext.broadcast((model.counts, model.divides))
     kind_ = df.schema[key].dataType.simpleString()

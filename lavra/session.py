@@ -55,3 +55,9 @@ def materialize(spark: SparkSession, df: DataFrame, name: str = "table") -> Data
     path = shared_dir(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(spark: SparkSession, df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` hashed by ``columns`` over all cores: for work that is much for its bytes, which would be gathered in few tasks."""
+    n = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, *columns)
