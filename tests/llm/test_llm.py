@@ -76,6 +76,35 @@ def test_plan_uses_every_item_once(seed):
     assert all(v <= 64 for k, v in used.items() if k < 0) and sum(k < 0 for k in used) == n
 
 
+@pytest.mark.parametrize("seed", range(60))
+def test_plan_is_best_fit(seed):
+    """The containers are filled as by best fit decreasing, item by item."""
+    rng = random.Random(seed)
+    counts = {rng.randint(1, 50): rng.randint(1, 40) for _ in range(12)}
+    runs, n = pack.plan_histogram(counts, 50)
+    got: dict[int, list[int]] = {}
+    for length, a, b, first, take in runs:
+        for r in range(a, b):
+            got.setdefault(first + (r - a) // take, []).append(length)
+    bins: list[list[int]] = []
+    for x in sorted((k for k, c in counts.items() for _ in range(c)), reverse=True):
+        fits = [b for b in bins if sum(b) + x <= 50]
+        if fits:
+            max(fits, key=sum).append(x)
+        else:
+            bins.append([x])
+    assert sorted(map(sum, got.values())) == sorted(map(sum, bins)) and n == len(bins)  # of equal rooms either may be taken
+
+
+def test_pack_ranks_a_hot_length_in_several_cells(spark):
+    rows = [(i, 7 if i % 3 else 64 + i % 5) for i in range(500)]
+    got = pack.pack(spark, spark.createDataFrame(rows, "k long, n int"), "k", "n", 64, cell=20).collect()
+    filled = {}
+    for r in got:
+        filled[r["container"]] = filled.get(r["container"], 0) + r["tokens"]
+    assert sum(filled.values()) == sum(n for _, n in rows) and max(filled.values()) <= 64 and len({(r["k"], r["piece"]) for r in got}) == len(got)
+
+
 def test_pack(spark):
     rows = [(i, random.Random(i).choice([0, 1, 5, 5, 5, 30, 64, 65, 200])) for i in range(300)] + [(1000, None), (1001, 3)]
     got = pack.pack(spark, spark.createDataFrame(rows, "k long, n int"), "k", "n", 64).collect()
