@@ -1,9 +1,11 @@
 """Problem 10: repetition inside one document.
 
-Statistics of each document come from one pass. A bounded sample of documents,
-labelled by the exact share, trains boosted trees over these statistics with
-monotonic constraints; the flat trees score all documents, and p10_found keeps
-those candidates whose exact share reaches the limit.
+A bounded sample of documents, labelled by the share of their content in repeated
+runs, trains boosted trees with monotonic constraints over statistics that are
+not that share. In one pass over all documents the flat trees score each from its
+statistics; those that may repeat themselves are candidates, and only their share
+is counted exactly. The score below which no document is a candidate follows from
+the scores of the sample's positive documents.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import defaultdict
+from dataclasses import dataclass
 from itertools import count
 
 import numpy as np
@@ -19,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialize, table
+from ..session import table
 from .encode import slices
 from .gbt import FlatTrees, train
 from .sample import bounded_sample
@@ -28,10 +31,11 @@ SHARE = 0.35
 RUN_WORDS, RUN_CHARS = 8, 20
 #: Most documents that are used to fit the trees.
 SAMPLE = 4000
-#: Scores from here on are checked exactly.
-CANDIDATE = 0.01
-FEATURES = ["share", "line_share", "half_share", "seen_ratio", "top_share", "log_units"]
-MONOTONE = [1, 1, 1, 1, 0, 0]
+#: A document is a candidate from this share of the least odds of a positive document of the sample on, at most these odds.
+MARGIN, MOST_ODDS = 0.1, 0.01
+FEATURES = ["line_share", "half_share", "seen_ratio", "top_share", "log_units"]
+#: More repeated lines, half runs and words seen before never lower the score.
+MONOTONE = [1, 1, 1, 0, 0]
 
 _WORD = re.compile(r"[^\W\d_]+")
 _MARKED = regex.compile(r"[\p{L}\p{M}]+")
@@ -91,28 +95,47 @@ def repeated(codes: np.ndarray, doc: np.ndarray, run: int) -> np.ndarray:
     return np.cumsum(covered)[:-1] > 0
 
 
-def document_statistics(texts: list[str | None]) -> np.ndarray:
+class Parsed:
+    """The units of texts as codes, words and characters apart: what statistics and shares are counted on."""
+
+    def __init__(self, texts: list[str | None]):
+        self.n = len(texts)
+        parsed = [text_units(t) for t in texts]
+        self.parts = []
+        for dense, run in ((False, RUN_WORDS), (True, RUN_CHARS)):
+            which = np.array([i for i, (d, u) in enumerate(parsed) if d == dense and u], dtype=np.int64)
+            if not len(which):
+                continue
+            lens = np.fromiter((len(parsed[i][1]) for i in which), dtype=np.int64, count=len(which))
+            vocabulary: defaultdict = defaultdict(count().__next__)
+            codes = np.fromiter((c for i in which for c in map(vocabulary.__getitem__, parsed[i][1])), dtype=np.int64, count=int(lens.sum()))
+            self.parts.append((run, which, lens, codes, len(vocabulary)))
+
+    def shares(self, wanted: np.ndarray) -> np.ndarray:
+        """Share of the units in runs that occurred earlier in the same text, of the texts ``wanted`` marks; elsewhere 0."""
+        out = np.zeros(self.n)
+        for run, which, lens, codes, _ in self.parts:
+            keep = wanted[which]
+            if keep.any():
+                doc = np.repeat(np.arange(len(which)), lens)[np.repeat(keep, lens)]
+                mask = repeated(codes[np.repeat(keep, lens)], doc, run)
+                out[which] = np.bincount(doc, mask, len(which)) / lens
+        return out
+
+
+def document_statistics(texts: list[str | None], parsed: Parsed | None = None) -> np.ndarray:
     """A row of FEATURES for each text; zeros where a text has no letters."""
-    parsed = [text_units(t) for t in texts]
+    parsed = parsed or Parsed(texts)
     out = np.zeros((len(texts), len(FEATURES)))
-    for dense, run in ((False, RUN_WORDS), (True, RUN_CHARS)):
-        which = [i for i, (d, u) in enumerate(parsed) if d == dense and u]
-        if not which:
-            continue
-        lens = np.fromiter((len(parsed[i][1]) for i in which), dtype=np.int64, count=len(which))
-        vocabulary: defaultdict = defaultdict(count().__next__)
-        codes = np.fromiter((c for i in which for c in map(vocabulary.__getitem__, parsed[i][1])), dtype=np.int64, count=int(lens.sum()))
+    for run, which, lens, codes, size in parsed.parts:
         doc = np.repeat(np.arange(len(which)), lens)
-        per_doc = lambda mask: np.bincount(doc, mask, len(which)) / lens
-        cell = doc * len(vocabulary) + codes
-        _, first, times = np.unique(cell, return_index=True, return_counts=True)
+        _, first, times = np.unique(doc * size + codes, return_index=True, return_counts=True)
         top = np.zeros(len(which))
         np.maximum.at(top, doc[first], times)
-        out[which, 0] = per_doc(repeated(codes, doc, run))
-        out[which, 2] = per_doc(repeated(codes, doc, run // 2))
-        out[which, 3] = 1 - np.bincount(doc[first], minlength=len(which)) / lens
-        out[which, 4] = top / lens
-        out[which, 5] = np.log1p(lens)
+        out[which, 1] = np.bincount(doc, repeated(codes, doc, run // 2), len(which)) / lens
+        out[which, 2] = 1 - np.bincount(doc[first], minlength=len(which)) / lens
+        out[which, 3] = top / lens
+        out[which, 4] = np.log1p(lens)
     for i, t in enumerate(texts):
         lines = [x.strip().lower() for x in t.split("\n")] if t and "\n" in t else []
         if len(lines) > 1:
@@ -122,12 +145,12 @@ def document_statistics(texts: list[str | None]) -> np.ndarray:
                 all_chars += len(x)
                 again += len(x) if x in seen else 0
                 seen.add(x)
-            out[i, 1] = again / max(1, all_chars)
+            out[i, 0] = again / max(1, all_chars)
     return out
 
 
-def repetition_statistics(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``key`` and FEATURES of each row; null, empty and letterless texts have zeros.
+def repetition_shares(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``key``, ``share`` and FEATURES of each row; null, empty and letterless texts have zeros.
 
     ``share`` is the share of units in runs that occurred earlier in the same
     text (the first occurrence does not count), ``line_share`` the share of
@@ -137,42 +160,70 @@ def repetition_statistics(df: DataFrame, key: str, text: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             for at, texts in slices(batch.column(1)):
-                x = document_statistics(texts)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), *map(pa.array, x.T.copy())], names=[key, *FEATURES])
+                parsed = Parsed(texts)
+                share, x = parsed.shares(np.ones(len(texts), dtype=bool)), document_statistics(texts, parsed)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(share), *map(pa.array, x.T.copy())], names=[key, "share", *FEATURES])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, " + ", ".join(f"{f} double" for f in FEATURES))
+    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, share double, " + ", ".join(f"{f} double" for f in FEATURES))
 
 
-def fit(stats: DataFrame, key: str, sample: int = SAMPLE) -> FlatTrees:
-    """Trees fitted on at most ``sample`` rows, taken by hash of the key."""
-    rows = bounded_sample(stats, key, sample, 10, [key, *FEATURES]).select(*FEATURES).toPandas().to_numpy()
-    return train(rows, (rows[:, 0] >= SHARE).astype(float), MONOTONE) if len(rows) else train(np.zeros((0, len(FEATURES))), np.zeros(0), MONOTONE)
+@dataclass
+class Detector:
+    """Trees and the score from which on a document is a candidate."""
 
+    trees: FlatTrees
+    candidate: float
 
-def score_documents(stats: DataFrame, model: FlatTrees, key: str) -> DataFrame:
-    """The statistics with the trees' probability that the text repeats itself."""
 
-    def run(batches):
-        for b in batches:
-            x = np.stack([b.column(f).to_numpy() for f in FEATURES], axis=1)
-            yield pa.RecordBatch.from_arrays([b.column(key), *(b.column(f) for f in FEATURES), pa.array(model.score(x))], names=[key, *FEATURES, "score"])
+def fit(df: DataFrame, key: str, text: str, sample: int = SAMPLE) -> Detector:
+    """The detector fitted on at most ``sample`` documents, taken by hash of the key and labelled by their share."""
+    some = bounded_sample(df.select(key, text), key, sample, 10, [key, text])
+    rows = repetition_shares(some, key, text).select("share", *FEATURES).toPandas().to_numpy()
+    return fit_detector(rows[:, 1:], rows[:, 0] >= SHARE)
+
+
+def fit_detector(x: np.ndarray, positive: np.ndarray) -> Detector:
+    """Without positive documents in the sample every document is a candidate."""
+    trees = train(x, positive.astype(float), MONOTONE)
+    if not positive.any() or positive.all():
+        return Detector(trees, 0.0)
+    p = float(trees.score(x)[positive].min())
+    odds = min(MOST_ODDS, MARGIN * p / max(1e-12, 1 - p))
+    return Detector(trees, odds / (1 + odds))
+
+
+def repeating(df: DataFrame, key: str, text: str, detector: Detector) -> DataFrame:
+    """``key, score, share`` of the documents whose share is at least SHARE.
 
-    return stats.select(key, *FEATURES).mapInArrow(run, stats.select(key, *FEATURES).schema.simpleString()[7:-1].replace(f"{key}:", f"`{key}`:") + ", score double")
+    One pass without a shuffle: the score decides whose share is counted. Null,
+    empty and letterless texts are not found; repeated rows come out repeatedly.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(detector)
 
+    def run(batches):
+        d = shared.value
+        for batch in batches:
+            for at, texts in slices(batch.column(1)):
+                parsed = Parsed(texts)
+                score = d.trees.score(document_statistics(texts, parsed))
+                share = parsed.shares(score >= d.candidate)
+                found = pa.array(np.flatnonzero(share >= SHARE))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)).take(found), pa.array(score).take(found), pa.array(share).take(found)], names=[key, "score", "share"])
 
-def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = materialize(spark, repetition_statistics(table(spark, sf_dir, "documents"), "doc_id", "text"), "repetition")
-    return score_documents(stats, fit(stats, "doc_id"), "doc_id")
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, score double, share double")
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scored(spark, sf_dir).filter((F.col("score") >= CANDIDATE) & (F.col("share") >= SHARE)).select("doc_id").distinct()
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return repeating(docs, "doc_id", "text", fit(docs, "doc_id", "text")).select("doc_id").distinct()
 
 
 def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of repeated content and score of every document."""
-    return _scored(spark, sf_dir).select("doc_id", F.round("share", 6).alias("share"), F.round("line_share", 6).alias("line_share"), F.round("score", 6).alias("score"))
+    """Share of repeated content of every document, counted exactly."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return repetition_shares(docs, "doc_id", "text").select("doc_id", F.round("share", 6).alias("share"), F.round("line_share", 6).alias("line_share"))
 
 
 QUERIES = {"p10_found": p10_found, "p10_shares": p10_shares}

@@ -7,6 +7,7 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lavra.llm import conversations, encode, gbt, neighbours, oversized, pack, repetition, scans, sentences
 from lavra.llm.bpe import PATTERN, TextEncoder, vocabulary
@@ -135,8 +136,26 @@ def test_shares_against_brute_force():
     rng = random.Random(5)
     texts = [None, "", "12 34 !!", "um dois " * 40, "评审委员会决定推迟维护日志。" * 9, "कार्यालय बजट का विवरण समय पर भेजती है। " * 6]
     texts += [" ".join(rng.choice("abcdef") for _ in range(200)) for _ in range(5)] + [("A b c d e f g h i j. " + "x y z " * 3) * 3]
-    got = repetition.document_statistics(texts)[:, 0]
-    assert np.allclose(got, [brute_share(t) for t in texts])
+    parsed = repetition.Parsed(texts)
+    want = [brute_share(t) for t in texts]
+    assert np.allclose(parsed.shares(np.ones(len(texts), dtype=bool)), want)
+    some = np.arange(len(texts)) % 2 == 0
+    assert np.allclose(parsed.shares(some), np.where(some, want, 0))
+
+
+def test_the_score_needs_no_share_and_keeps_its_order(spark):
+    """The statistics hold no exact share; more repetition never lowers the score of the fitted model."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
+    d = repetition.fit(docs, "doc_id", "text")
+    assert "share" not in repetition.FEATURES and len(d.trees.feature) > 0 and 0 < d.candidate <= 0.01
+    x = repetition.document_statistics([r["text"] for r in docs.limit(300).collect()])
+    for j, sign in enumerate(repetition.MONOTONE):
+        if sign:
+            low, high = x.copy(), x.copy()
+            high[:, j] = np.minimum(1, high[:, j] + 0.3)
+            assert (d.trees.score(high) >= d.trees.score(low) - 1e-12).all()
+    all_ = repetition.repetition_shares(docs, "doc_id", "text").filter(F.col("share") >= 0.35).select("doc_id").distinct()
+    assert {r["doc_id"] for r in all_.collect()} == {r["doc_id"] for r in repetition.repeating(docs, "doc_id", "text", d).collect()}
 
 
 def test_trees_keep_the_constraints():
