@@ -1,5 +1,6 @@
 import base64
 import datetime as dt
+import itertools
 import random
 
 import numpy as np
@@ -300,3 +301,38 @@ def test_repairs(spark):
     assert {x for x in got if x[1] == "split"} == {(1001, "split", "inovação"), (1001, "split", "segurança"), (1003, "split", "pré-operacional"), (1003, "split", "comissão")}
     assert {x for x in got if x[1] == "misread"} == {(1001, "misread", "tecnológica")}
     assert scans.repairs(spark, df.limit(0)).count() == 0
+    text = [(r["first_block"], r["last_block"], r["text"]) for r in scans.paragraphs(spark, df).filter("document_id = 's'").orderBy("paragraph").collect()]
+    assert text == [(1001, 1001, "o plano de inovação tecnológica e o termo de segurança da comissão (H2O)"), (1003, 1005, "o termo pré-operacional da comissão de inovação")] or text == [
+        (1001, 1005, "o plano de inovação tecnológica e o termo de segurança da comissão (H2O) o termo pré-operacional da comissão de inovação")]
+    assert scans.paragraphs(spark, df.limit(0)).count() == 0
+
+
+def test_paragraphs_across_segments(spark):
+    """A paragraph and a divided word go on behind the border of a segment, with running lines between."""
+    rows = [("s", k, k, k // 8 + 1, f"Parágrafo {k} termina aqui.", 0) for k in range(63)]
+    rows += [("s", 63, 63, 8, "Outro parágrafo que não acabou e se divi-", 0), ("s", 64, 64, 9, "de aqui, e segue.", 0), ("s", 65, 65, 9, "Um novo.", 0), ("s", 66, 66, None, " \n ", 0)]
+    df = spark.createDataFrame(rows, "document_id string, block_index int, block_id long, page_start int, text string, paragraph int")
+    got = [(r["paragraph"], r["first_block"], r["last_block"], r["text"]) for r in scans.paragraphs(spark, df).orderBy("paragraph").collect()]
+    assert got[:63] == [(k + 1, k, k, f"Parágrafo {k} termina aqui.") for k in range(63)]
+    assert got[63:] == [(64, 63, 64, "Outro parágrafo que não acabou e se divide aqui, e segue."), (65, 65, 65, "Um novo.")]
+
+
+def test_chain_against_all_paths():
+    """Viterbi and forward-backward against the sum over all state sequences."""
+    rng = np.random.default_rng(4)
+    chain = scans.initial_chain()
+    seqs = [rng.integers(0, scans.SYMBOLS, n) for n in (1, 4, 6)]
+    start, step, emit, total = np.zeros(3), np.zeros((3, 3)), np.zeros((3, scans.SYMBOLS)), 0.0
+    for s, states in zip(seqs, scans.viterbi(seqs, chain)):
+        paths = list(itertools.product(range(3), repeat=len(s)))
+        p = np.array([chain.start[x[0]] * np.prod([chain.emit[a, b] for a, b in zip(x, s)]) * np.prod([chain.step[a, b] for a, b in zip(x, x[1:])]) for x in paths])
+        assert tuple(states) == paths[int(p.argmax())]
+        total += np.log(p.sum())
+        for x, w in zip(paths, p / p.sum()):
+            start[x[0]] += w
+            for a, b in zip(x, x[1:]):
+                step[a, b] += w
+            for a, b in zip(x, s):
+                emit[a, b] += w
+    got = scans.expected_counts(seqs, chain)
+    assert all(np.allclose(a, b) for a, b in zip(got, (start, step, emit, total)))
