@@ -68,7 +68,6 @@ _ROMAN = re.compile(r"[ivxlc]+", re.IGNORECASE)
 _PROSE = re.compile(r"\s*(?:[^\W\d_A-ZÀ-Þ]|\d+(?:\.\d+)+\.?\s).*|.*[.;,:]\s*", re.DOTALL)
 _ITEM = re.compile(r"(?:[•▪◦‣●*–—-]\s|\(?\d+(?:\.\d+)+[.)]?\s|\(?(?:\d{1,3}|[ivxlcIVXLC]{1,5}|[A-Za-z])[.)]\s|§)")
 _DIGITS = re.compile(r"\d{1,6}")
-_MARKS = dict.fromkeys(range(0x300, 0x370))
 _ENDS = ".!?:;…。！？"
 
 #: Symbols: recurrence 1, 2, 3 and more; inner line, edge of a block, edge of a page; page number none, within, alone; short, long; how the line opens.
@@ -79,22 +78,37 @@ BLANK = PAGES * EDGES * NUMBERS * LENGTHS * OPENS
 SYMBOLS = BLANK + 1
 
 
+#: What a letter becomes in a skeleton; marks and soft hyphens vanish.
+_FOLDED = str.maketrans(CONFUSABLE) | dict.fromkeys(range(0x300, 0x370)) | {0xAD: None}
+_FOLDED_6 = _FOLDED | {ord("6"): "o"}
+
+
 def skeletons(word: str) -> list[str]:
     """The word with confusable characters made equal; two forms where a 6 may be a b or an o."""
-    flat = unicodedata.normalize("NFKD", word.lower()).translate(_MARKS).replace("­", "")
-    out = ["".join(CONFUSABLE.get(c, c) for c in flat)]
+    flat = word.lower()
+    if not flat.isascii():
+        # an i with an accent is confused like an i without
+        flat = unicodedata.normalize("NFKD", flat)
+    out = [flat.translate(_FOLDED)]
     if "6" in flat:
-        out.append("".join("o" if c == "6" else CONFUSABLE.get(c, c) for c in flat))
+        out.append(flat.translate(_FOLDED_6))
     return out
 
 
 def line_key(line: str) -> str:
     """What recurs of a running line: codes and numbers masked, misread letters folded."""
     x = line.strip()
-    if _PAGE_ONLY.fullmatch(x) and not any(c.isdigit() for c in x):
+    digits = any(map(str.isdigit, x))
+    if not digits and _PAGE_ONLY.fullmatch(x):
         return _ROMAN.sub("#", x)
-    x = _CODE.sub("¤", x)
-    return skeletons(re.sub(r"\s+", " ", _NUMBER.sub("#", x)))[0]
+    if digits:
+        x = _NUMBER.sub("#", _CODE.sub("¤", x) if "-" in x or "_" in x else x)
+    return skeletons(" ".join(x.split()))[0]
+
+
+def may_recur(line: str) -> bool:
+    """Whether a line may be a running line by its look: a page number alone, or no running text."""
+    return bool(_PAGE_ONLY.fullmatch(line.strip())) or not _PROSE.fullmatch(line.rstrip())
 
 
 def symbol(pages: int, edge: int, number: int, long: bool, opens: int) -> int:
@@ -226,13 +240,13 @@ def train(spark: SparkSession, segments: DataFrame) -> Chain:
 
 
 def block_keys(batches):
-    """Adds to blocks the recurrence keys of their first and last line; blank blocks have none."""
+    """Adds to blocks the recurrence keys of their first and last line, where these may recur by their look."""
     for b in batches:
         firsts, lasts = [], []
         for text in b.column("text").to_pylist():
             lines = text.strip().split("\n") if text else []
-            firsts.append(line_key(lines[0]) if lines and lines[0] else None)
-            lasts.append(line_key(lines[-1]) if lines and lines[0] else None)
+            firsts.append(line_key(lines[0]) if lines and lines[0] and may_recur(lines[0]) else None)
+            lasts.append(firsts[-1] if len(lines) == 1 else line_key(lines[-1]) if lines and may_recur(lines[-1]) else None)
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array(firsts, type=pa.string()), pa.array(lasts, type=pa.string())], names=[*b.schema.names, "first_key", "last_key"])
 
 
@@ -254,14 +268,12 @@ def line_symbols(lines: list[str], page: int | None, top: bool, bottom: bool, fi
         pages, number, edge = 1, 0, 0
         if head or tail:
             edge = 2 if head and top or tail and bottom else 1
-            alone = bool(_PAGE_ONLY.fullmatch(x))
-            if alone or not _PROSE.fullmatch(lines[k].rstrip()):
-                pages = max(first_pages if head else 1, last_pages if tail else 1)
-            if alone:
+            pages = max(first_pages if head else 1, last_pages if tail else 1)  # 1 where the line cannot recur by its look
+            if _PAGE_ONLY.fullmatch(x):
                 number = 2
             else:
                 values = _DIGITS.findall(x)
-                if values and (page is not None and page in map(int, values) or pages >= 2) or pages >= 2 and ("/" in x or "|" in x):
+                if values and (pages >= 2 or page is not None and page in map(int, values) and may_recur(lines[k])) or pages >= 2 and ("/" in x or "|" in x):
                     number = 1
         out[k] = symbol(pages, edge, number, len(x) > LONG_LINE, opens)
     return out
