@@ -202,6 +202,37 @@ def test_neighbours_against_brute_force(spark):
     assert neighbours.nearest(spark, df.limit(0), "k", "m", "v", {"m": 8}).count() == 0
 
 
+@pytest.mark.parametrize("levels", [1, 2])
+def test_recall_where_few_lists_are_probed(spark, levels):
+    """Queries with ids divisible by 20 against brute force, a sixth of the lists probed at most."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(60, 16))
+    v = np.concatenate([centres[rng.integers(0, 60, 5000)] + 0.7 * rng.normal(size=(5000, 16)), rng.normal(size=(1000, 16))]).astype(np.float32)
+    df = spark.createDataFrame([(i, "m", x.tolist()) for i, x in enumerate(v)], "k long, m string, v array<float>")
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    rows = neighbours.usable(df, "k", "m", "v", {"m": 16})
+    ix = neighbours.fit(u, 60) if levels == 1 else neighbours.two_levels(rows, u, neighbours.fit(u, 8), len(u), 8)
+    assert len(ix.coarse) >= 6 * ix.probes and (levels == 1) == (ix.upper is None)
+    got = {}
+    for r in neighbours.nearest(spark, df, "k", "m", "v", {"m": 16}, indexes={"m": ix}).filter("id % 20 = 0").collect():
+        got.setdefault(r["id"], set()).add(r["other"])
+    s = u[::20] @ u.T
+    s[np.arange(len(s)), np.arange(len(s)) * 20] = -2
+    want = np.argsort(-s, axis=1)[:, :5]
+    assert np.mean([len(got[20 * i] & set(w)) / 5 for i, w in enumerate(want)]) >= 0.9
+
+
+def test_exact_mode_equals_brute_force(spark):
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(80, 6)).astype(np.float32)
+    df = spark.createDataFrame([(i, "m", x.tolist()) for i, x in enumerate(v)], "k long, m string, v array<float>")
+    u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    got = {(r["id"], r["rank"]): r["other"] for r in neighbours.nearest(spark, df, "k", "m", "v", {"m": 6}, exact=True).collect()}
+    assert got == {(i, j + 1): int(o) for i in range(80) for j, o in enumerate(np.argsort(-s[i])[:5])}
+
+
 # problem 4
 
 
