@@ -338,13 +338,14 @@ def cosine(a: str, b: str):
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-def exact_pairs(rows: DataFrame, near: DataFrame, floor: float) -> DataFrame:
+def exact_pairs(spark: SparkSession, rows: DataFrame, near: DataFrame, floor: float) -> DataFrame:
     """``model, cid, o, sim``: the exact similarity of each pair found, from the vectors as given; those below ``floor`` left out."""
     pairs = near.select("model", "cid", F.explode("near").alias("n")).select("model", F.least("cid", "n.cid").alias("cid"), F.greatest("cid", "n.cid").alias("o")).distinct()
+    pairs = materialize(spark, pairs, "pairs")
     wanted = pairs.select("model", F.explode(F.array("cid", "o")).alias("cid")).distinct()
     vectors = rows.select("model", "cid", "v").join(wanted, ["model", "cid"], "left_semi").dropDuplicates(["model", "cid"])
     both = pairs.join(vectors, ["model", "cid"]).join(vectors.select("model", F.col("cid").alias("o"), F.col("v").alias("w")), ["model", "o"])
-    scored = both.select("model", "cid", "o", cosine("v", "w").alias("sim")).filter(F.col("sim") >= floor)
+    scored = materialize(spark, both.select("model", "cid", "o", cosine("v", "w").alias("sim")).filter(F.col("sim") >= floor), "scored")
     return scored.unionByName(scored.select("model", F.col("o").alias("cid"), F.col("cid").alias("o"), "sim"))
 
 
@@ -376,7 +377,7 @@ def nearest(
     if exact:
         near = brute_pairs(rows, floor)
     else:
-        near = exact_pairs(rows, search(spark, rows, indexes or build(spark, rows), max(EXACT, k + 3), floor), floor)
+        near = exact_pairs(spark, rows, search(spark, rows, indexes or build(spark, rows), max(EXACT, k + 3), floor), floor)
     # members of the neighbouring classes, at most k + 1 each
     others = near.join(classes.select("model", F.col("cid").alias("o"), F.col("first").alias("members")), ["model", "o"])
     best = F.row_number().over(Window.partitionBy("model", "cid").orderBy(F.col("sim").desc(), F.col("members")[0]))
