@@ -3,7 +3,8 @@
 The least number of pieces gives equal-length targets; each target is moved to
 the strongest boundary near it (paragraph, line, sentence, blank, then any
 place). If a piece breaks the limit, one piece is added and the targets are
-placed anew.
+placed anew; where boundaries are so uneven that no such division is found, pieces
+are cut one after another at the strongest boundary within the limit.
 """
 
 from __future__ import annotations
@@ -89,12 +90,20 @@ def cut_text(text: str, spans: list[tuple[int, int]], limit: int = LIMIT, overla
             if n - start <= limit:
                 return [*pieces, (start, n)]
         count += 1
-    # no balanced division: full pieces one after another
+    return cut_in_turn(n, places, strong, limit, overlap)
+
+
+def cut_in_turn(n: int, places: list[int], strong: list[float], limit: int, overlap: int) -> list[tuple[int, int]]:
+    """Pieces one after another where no balanced division was found: each ends at the strongest boundary within the limit, the farthest if equal.
+
+    Only where there is no boundary is a text cut at the limit.
+    """
     pieces, start, cut = [], 0, 0
     while n - start > limit:
-        cut = start + limit
-        pieces.append((start, cut))
-        start = cut - overlap
+        a, b = bisect_right(places, max(cut, start + overlap)), bisect_right(places, start + limit)
+        new = places[max(range(a, b), key=lambda k: (strong[k], places[k]))] if a < b else start + limit
+        pieces.append((start, new))
+        start, cut = overlap_start(places, strong, new, overlap, start), new
     return [*pieces, (start, n)]
 
 

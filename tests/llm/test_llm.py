@@ -302,6 +302,17 @@ def test_pieces_keep_the_limit_and_cover(text, limit, overlap):
         assert 0 <= b - c <= overlap and a < c and b < d
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.text(alphabet="ab .\n", min_size=100, max_size=900), st.integers(20, 80), st.integers(0, 10))
+def test_pieces_in_turn_keep_the_limit_and_boundaries(text, limit, overlap):
+    places, strong = oversized.boundaries(text, sentences.sentences(text, sentences.Model()))
+    pieces = oversized.cut_in_turn(len(text), places, strong, limit, overlap)
+    assert pieces[0][0] == 0 and pieces[-1][1] == len(text) and all(0 < b - a <= limit for a, b in pieces)
+    for (a, b), (c, d) in zip(pieces, pieces[1:]):
+        assert 0 <= b - c <= overlap and a < c and b < d
+        assert b in places or not any(max(b - limit, a + overlap) < p <= a + limit for p in places if p > a + overlap)
+
+
 def test_oversized_kinds(spark):
     rows = [(1, "Frase curta de teste. " * 100), (2, "x" * 4000), (3, "curto"), (4, None), (2, "x" * 4000)]
     df = spark.createDataFrame(rows, "rowid long, text string")
