@@ -17,9 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
 from .encode import slices
-from .sentences import Model, fit, sentences
+from .sentences import Model, chunk_texts, fit, sentences
 
 LIMIT, OVERLAP = 1600, 150
 #: Share of a target's length that it may move by.
@@ -138,8 +137,8 @@ def split_oversized(spark: SparkSession, df: DataFrame, key: str, text: str, mod
 
 
 def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = table(spark, sf_dir, "chunks").select("rowid", "text")
-    return split_oversized(spark, chunks, "rowid", "text", fit(chunks, "rowid", "text"))
+    chunks = chunk_texts(spark, sf_dir)
+    return split_oversized(spark, chunks, "rowid", "text", fit(spark, chunks, "text"))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:

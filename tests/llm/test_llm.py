@@ -274,6 +274,29 @@ def test_sentences(model, text, want):
     assert [text[a:b] for a, b in sentences.sentences(text, model)] == want
 
 
+def test_texts_without_marks_divide_as_their_lines_do():
+    """A hidden event in an unpunctuated text: lines teach, and a line of two sentences is divided; punctuated text stays."""
+    rng = random.Random(3)
+    line = lambda: f"{rng.choice(['this', 'there', 'every'])} {rng.choice(['plan', 'budget', 'call'])} {rng.choice(['needs', 'has', 'wants'])} {rng.choice(['one', 'some', 'no'])} {rng.choice(['report', 'answer', 'delay'])}"
+    texts = ["\n".join(line() for _ in range(30)) for _ in range(20)]
+    m = sentences.train([*texts, "Uma frase. Outra frase."])
+    text = "this budget has some delay there plan needs one report every call wants no answer"
+    assert [text[a:b] for a, b in sentences.sentences(text, m)] == ["this budget has some delay", "there plan needs one report", "every call wants no answer"]
+    assert len(sentences.sentences("this budget has some delay there plan needs one report.", m)) == 1
+
+
+@pytest.mark.parametrize("text, n", [("ພາສາລາວ ປະໂຫຍກທີສອງ", 2), ("នេះជាប្រយោគ។ នេះជាប្រយោគ។", 2), ("ဒါက ဝါကျ။ ဒုတိယ", 3)])
+def test_other_scripts_without_spaces(model, text, n):
+    assert len(sentences.sentences(text, model)) == n
+
+
+def test_fit_on_executors_equals_training_in_one_process(spark, model):
+    df = table(spark, "/root/testdata/sf0.01", "chunks").select("text").distinct()
+    got = sentences.fit(spark, df, "text")
+    assert got.kinds.keys() == model.kinds.keys() and all(abs(got.kinds[k] - model.kinds[k]) < 1e-6 for k in got.kinds)
+    assert np.allclose(got.before, model.before, equal_nan=True, atol=1e-4) and got.short == model.short
+
+
 def test_sentences_cover_every_visible_character(model, spark):
     for r in table(spark, DATA, "chunks").select("text").distinct().collect():
         spans = sentences.sentences(r["text"], model)
