@@ -1,12 +1,18 @@
 """Problem 4: conversations rebuilt from message rows by keyed streaming state.
 
-Messages stream in by arrival time. State is kept for a segment: the messages of
-one conversation created on one day. A segment buffers late and repeated
-deliveries and is emitted in order, with its own verdict on the steps between
-roles, once the watermark has passed its last message by the allowed lateness.
-Segments are small and their verdicts merge, so a conversation of any length is
-never state of one key. The merge offsets positions by the earlier segments and
-checks the steps from segment to segment.
+Messages stream in by arrival time, in micro-batches. State is kept for a segment:
+the messages of one conversation created on one day. A segment buffers late and
+repeated deliveries and is emitted in order, with its own verdict on the steps between
+roles, once the watermark has passed its last message by the allowed lateness; what
+is still open when the stream ends is closed from the state itself. Segments are small
+and their verdicts merge, so a conversation of any length is never state of one key.
+The merge offsets positions by the earlier segments and checks the steps from segment
+to segment.
+
+A stored table is replayed in the order of arrival: its rows are laid down in files by
+ranges of received_at, and the files are read a few at a time. No row is later than the
+watermark then. A stream that brings rows later than the watermark is an error, with
+their number: a result without them would not be whole.
 """
 
 from __future__ import annotations
@@ -36,19 +42,28 @@ _STATE = "ids array<string>, created array<bigint>, received array<bigint>, code
 _MESSAGE = "id string, conversation_id string, role string, content string, created_at timestamp, received_at timestamp"
 
 
+#: Rows of a file of the replay, least files, and most micro-batches.
+FILE_ROWS, LEAST_FILES, MOST_BATCHES = 250_000, 4, 64
+
+
+def in_order(conversation: str, day: int, ids: list, created: list, codes: list) -> dict:
+    """The messages of a segment in order, with its verdict."""
+    order = sorted(range(len(ids)), key=lambda i: (created[i], ids[i]))
+    roles = [codes[i] for i in order]
+    fine = BROKEN not in roles and all(s in STEPS for s in zip(roles, roles[1:]))
+    n = len(order)
+    return {
+        "conversation_id": [conversation] * n, "message_id": [ids[i] for i in order], "created_at": pd.to_datetime([created[i] for i in order], unit="us"),
+        "code": pd.array(roles, dtype="int32"), "local": pd.array(range(n), dtype="int32"), "steps_ok": [fine] * n, "day": [day] * n,
+    }
+
+
 def segment(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Buffers the messages of a segment; emits them in order when its time has passed."""
     if state.hasTimedOut:
         ids, created, _, codes = state.get
         state.remove()
-        order = sorted(range(len(ids)), key=lambda i: (created[i], ids[i]))
-        roles = [codes[i] for i in order]
-        fine = BROKEN not in roles and all(s in STEPS for s in zip(roles, roles[1:]))
-        yield pd.DataFrame({
-            "conversation_id": key[0], "message_id": [ids[i] for i in order],
-            "created_at": pd.to_datetime([created[i] for i in order], unit="us"),
-            "code": pd.array(roles, dtype="int32"), "local": pd.array(range(len(order)), dtype="int32"), "steps_ok": fine, "day": key[1],
-        })
+        yield pd.DataFrame(in_order(key[0], key[1], ids, created, codes))
         return
     buffered: dict[str, tuple] = {}
     if state.exists:
@@ -81,38 +96,65 @@ def prepared(messages: DataFrame) -> DataFrame:
     )
 
 
-def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The table as a stream: a folder of parts, or one file of a folder."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
-    reader = spark.readStream.schema(_MESSAGE)
-    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
-        return reader.parquet(f"{sf_dir}/{name}.parquet")
-    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+class LateRows(RuntimeError):
+    """Rows came later than the watermark; ``number`` of them."""
+
+    def __init__(self, number: int):
+        super().__init__(f"{number} rows came later than the watermark of {LATENESS}")
+        self.number = number
+
+
+def replay(spark: SparkSession, messages: DataFrame) -> DataFrame:
+    """A stored table as a stream in the order of arrival, in several micro-batches."""
+    rows = messages.select("id", "conversation_id", "role", "content", "created_at", "received_at")
+    files = max(LEAST_FILES, -(-rows.count() // FILE_ROWS))
+    folder = shared_dir(spark, "arrivals")
+    rows.repartitionByRange(files, F.col("received_at").asc_nulls_first()).sortWithinPartitions("received_at").write.parquet(folder)
+    # the file source takes the oldest files first: the files' times follow the ranges
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    parts = sorted((f.getPath().getName() for f in fs.listStatus(path) if f.getPath().getName().startswith("part-")))
+    for i, name in enumerate(parts):
+        fs.setTimes(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}"), 1_000_000_000_000 + 60_000 * i, -1)
+    return spark.readStream.schema(_MESSAGE).option("maxFilesPerTrigger", max(1, -(-len(parts) // MOST_BATCHES))).option("maxFileAge", "36500d").parquet(folder)
+
+
+def _open_segments(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The segments that the end of the stream left in the state, in order."""
+
+    def run(frames):
+        for f in frames:
+            done = [pd.DataFrame(in_order(c, d, list(i), list(t), list(k))) for c, d, i, t, k in zip(f["conversation_id"], f["day"], f["ids"], f["created"], f["codes"])]
+            if done:
+                yield pd.concat(done)
+
+    left = spark.read.format("statestore").load(checkpoint)
+    state = left.select("key.*", "value.groupState.*").select("conversation_id", "day", "ids", "created", "codes")
+    return state.mapInPandas(run, _OUT)
 
 
 def segments(spark: SparkSession, stream: DataFrame, known: DataFrame) -> DataFrame:
     """Emitted segments of all messages whose conversation is known.
 
-    The stream is read to its end as one batch, so the watermark drops nothing,
-    however late a row arrives. A closing row far in the future then moves the
-    watermark past every segment, and the batch that follows emits them all.
+    The stream is read to its end in the micro-batches its source makes. Segments
+    past the watermark are emitted as it moves on; those still open at the end are
+    taken from the state. Rows later than the watermark raise ``LateRows``.
     """
-    closing = shared_dir(spark, "closing")
-    spark.range(1).select(
-        F.lit("").alias("id"), F.lit(None).cast("string").alias("conversation_id"), F.lit(None).cast("string").alias("role"), F.lit(None).cast("string").alias("content"),
-        F.lit(None).cast("timestamp").alias("created_at"), F.lit("2250-01-01").cast("timestamp").alias("received_at"),
-    ).write.parquet(closing)
     ids = known.select(F.col("id").alias("conversation_id")).filter("conversation_id is not null").distinct()
     rows = prepared(stream.select("id", "conversation_id", "role", "content", "created_at", "received_at")).join(ids, "conversation_id", "left_semi")
-    end = prepared(spark.readStream.schema(_MESSAGE).parquet(closing))
     state = (
-        rows.unionByName(end).withWatermark("event_time", LATENESS).groupBy("conversation_id", "day")
+        rows.withWatermark("event_time", LATENESS).groupBy("conversation_id", "day")
         .applyInPandasWithState(segment, _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
     )
-    out = shared_dir(spark, "segments")
-    query = state.writeStream.format("parquet").option("checkpointLocation", shared_dir(spark, "state")).trigger(availableNow=True).outputMode("append").start(out)
+    out, checkpoint = shared_dir(spark, "segments"), shared_dir(spark, "state")
+    query = state.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode("append").start(out)
     query.awaitTermination()
-    return spark.read.schema(_OUT).parquet(out)
+    progress = query.recentProgress
+    late = sum(int(o["numRowsDroppedByWatermark"]) for p in progress for o in p["stateOperators"])
+    if late:
+        raise LateRows(late)
+    emitted = spark.read.schema(_OUT).parquet(out)
+    return emitted.unionByName(_open_segments(spark, checkpoint)) if progress and any(p["stateOperators"] for p in progress) else emitted
 
 
 def merge(rows: DataFrame) -> DataFrame:
@@ -144,7 +186,7 @@ def rebuild(spark: SparkSession, stream: DataFrame, conversations: DataFrame) ->
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rebuild(spark, _stream(spark, sf_dir, "messages"), table(spark, sf_dir, "conversations"))
+    return rebuild(spark, replay(spark, table(spark, sf_dir, "messages")), table(spark, sf_dir, "conversations"))
 
 
 def p4_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import base64
 import datetime as dt
 import itertools
+import os
 import random
 
 import numpy as np
@@ -251,7 +252,37 @@ def test_conversations(spark, tmp_path):
     known = spark.createDataFrame([(x, 1) for x in ("ok", "ok", "noreply", "blank", "notime", "mid", "tie", "role", None)], "id string, role int")
     stream = spark.readStream.schema(conversations._MESSAGE).parquet(path)
     got = sorted(tuple(r) for r in conversations.rebuild(spark, stream, known).collect())
-    assert got == [("ok", 1, "a"), ("ok", 2, "b"), ("ok", 3, "c"), ("ok", 4, "d"), ("ok", 5, "e"), ("tie", 1, "q"), ("tie", 2, "r")]
+    want = [("ok", 1, "a"), ("ok", 2, "b"), ("ok", 3, "c"), ("ok", 4, "d"), ("ok", 5, "e"), ("tie", 1, "q"), ("tie", 2, "r")]
+    assert got == want
+    # the same rows replayed in the order of arrival, in several micro-batches
+    batches = conversations.replay(spark, spark.read.parquet(path))
+    assert sorted(tuple(r) for r in conversations.rebuild(spark, batches, known).collect()) == want
+    empty = conversations.replay(spark, spark.read.parquet(path).limit(0))
+    assert conversations.rebuild(spark, empty, known).count() == 0
+
+
+def test_late_rows_across_batches_and_behind_the_watermark(spark, tmp_path):
+    """A row of an earlier day in a later batch joins its segment; one behind the watermark is counted, not lost unseen."""
+    t = dt.datetime(2031, 1, 1)
+    at = lambda d: t + dt.timedelta(days=d)
+    rows = [("a", "x", "user", "oi", at(0), at(0)), ("b", "x", "assistant", "olá", at(0.1), at(20)), ("c", "y", "user", "e?", at(60), at(60)), ("d", "y", "assistant", "sim", at(60.1), at(100)), ("e", "z", "user", "e?", at(200), at(200))]
+    df = spark.createDataFrame(rows, conversations._MESSAGE)
+    known = spark.createDataFrame([("x",), ("y",), ("z",)], "id string")
+    want = [("x", 1, "a"), ("x", 2, "b"), ("y", 1, "c"), ("y", 2, "d")]
+    stream = conversations.replay(spark, df)
+    assert sorted(tuple(r) for r in conversations.rebuild(spark, stream, known).collect()) == want
+    folder = tmp_path / "late"
+    for i, name in enumerate(["e", "c", "a", "b"]):  # the newest first
+        df.filter(F.col("id") == name).coalesce(1).write.mode("append").parquet(str(folder))
+        part = max(folder.glob("part-*"), key=lambda p: p.stat().st_mtime)
+        for p in folder.glob("part-*"):
+            if p == part:
+                os.utime(p, (1_000_000_000 + 60 * i,) * 2)
+                os.rename(p, folder / f"done-{i}.parquet")
+    late = spark.readStream.schema(conversations._MESSAGE).option("maxFilesPerTrigger", 1).option("maxFileAge", "36500d").parquet(str(folder))
+    with pytest.raises(conversations.LateRows) as e:
+        conversations.rebuild(spark, late, known).count()
+    assert e.value.number >= 2
 
 
 # problems 1 and 6
