@@ -7,7 +7,8 @@ roles, once the watermark has passed its last message by the allowed lateness; w
 is still open when the stream ends is closed from the state itself. Segments are small
 and their verdicts merge, so a conversation of any length is never state of one key.
 The merge offsets positions by the earlier segments and checks the steps from segment
-to segment.
+to segment. Segments share keys of state by hash (a slot holds many), so that what a
+key costs is paid for many segments at once; a slot's timeout is that of its first segment.
 
 A stored table is replayed in the order of arrival: its rows are laid down in files by
 ranges of received_at, and the files are read a few at a time. No row is later than the
@@ -38,7 +39,9 @@ STEPS = {(0, 0), (0, 1), (1, 2), (2, 1)}
 
 _BLANK = r"[\s\u001C-\u001F\u0085   -‏ -  -⁤　﻿­]"
 _OUT = "conversation_id string, message_id string, created_at timestamp, code int, local int, steps_ok boolean, day bigint"
-_STATE = "ids array<string>, created array<bigint>, received array<bigint>, codes array<int>"
+_STATE = "conversations array<string>, days array<bigint>, ids array<string>, created array<bigint>, received array<bigint>, codes array<int>"
+#: Slots of state for each shuffle partition.
+SLOTS = 16
 _MESSAGE = "id string, conversation_id string, role string, content string, created_at timestamp, received_at timestamp"
 
 
@@ -46,38 +49,51 @@ _MESSAGE = "id string, conversation_id string, role string, content string, crea
 FILE_ROWS, LEAST_FILES, MOST_BATCHES = 250_000, 4, 64
 
 
-def in_order(conversation: str, day: int, ids: list, created: list, codes: list) -> dict:
-    """The messages of a segment in order, with its verdict."""
-    order = sorted(range(len(ids)), key=lambda i: (created[i], ids[i]))
-    roles = [codes[i] for i in order]
-    fine = BROKEN not in roles and all(s in STEPS for s in zip(roles, roles[1:]))
-    n = len(order)
-    return {
-        "conversation_id": [conversation] * n, "message_id": [ids[i] for i in order], "created_at": pd.to_datetime([created[i] for i in order], unit="us"),
-        "code": pd.array(roles, dtype="int32"), "local": pd.array(range(n), dtype="int32"), "steps_ok": [fine] * n, "day": [day] * n,
-    }
-
-
-def segment(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Buffers the messages of a segment; emits them in order when its time has passed."""
-    if state.hasTimedOut:
-        ids, created, _, codes = state.get
+def in_order(messages: dict[tuple[str, int], dict[str, tuple]]) -> pd.DataFrame:
+    """The messages of segments in order, each with its segment's verdict; a message is (received, created, code)."""
+    rows = []
+    for (conversation, day), own in messages.items():
+        order = sorted(own.items(), key=lambda m: (m[1][1], m[0]))
+        roles = [m[1][2] for m in order]
+        fine = BROKEN not in roles and all(s in STEPS for s in zip(roles, roles[1:]))
+        rows += [(conversation, i, created, code, k, fine, day) for k, (i, (_, created, code)) in enumerate(order)]
+    out = pd.DataFrame(rows, columns=["conversation_id", "message_id", "created_at", "code", "local", "steps_ok", "day"])
+    return out.astype({"code": "int32", "local": "int32", "day": "int64"}).assign(created_at=pd.to_datetime(out["created_at"], unit="us"))
+
+
+def buffered(columns) -> dict[tuple[str, int], dict[str, tuple]]:
+    """Messages by segment; of one id the last delivery counts."""
+    out: dict[tuple[str, int], dict[str, tuple]] = {}
+    for conversation, day, i, created, received, code in zip(*columns):
+        own = out.setdefault((conversation, int(day)), {})
+        new = (int(received), int(created), int(code))
+        if i not in own or new > own[i]:
+            own[i] = new
+    return out
+
+
+def deadline(own: dict[str, tuple]) -> int:
+    """When a segment closes, in milliseconds: the lateness behind its last message and delivery."""
+    return max(max(r, c) for r, c, _ in own.values()) // 1000 + LATENESS_MS
+
+
+def slot(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Buffers the messages of the segments of a slot; emits in order those whose time has passed."""
+    columns: list[list] = [list(c) for c in state.get] if state.exists else [[] for _ in range(6)]
+    for f in frames if not state.hasTimedOut else ():
+        for c, name in zip(columns, ("conversation_id", "day", "id", "created_us", "received_us", "code")):
+            c += f[name].tolist()
+    messages, now = buffered(columns), state.getCurrentWatermarkMs()
+    ends = {k: deadline(own) for k, own in messages.items()}
+    done = {k: own for k, own in messages.items() if ends[k] <= now}
+    rest = [(c, d, i, t, r, k) for (c, d), own in messages.items() if ends[c, d] > now for i, (r, t, k) in own.items()]
+    if rest:
+        state.update(tuple(list(c) for c in zip(*rest)))
+        state.setTimeoutTimestamp(max(min(e for e in ends.values() if e > now), now + 1))
+    else:
         state.remove()
-        yield pd.DataFrame(in_order(key[0], key[1], ids, created, codes))
-        return
-    buffered: dict[str, tuple] = {}
-    if state.exists:
-        buffered = {i: (r, c, k) for i, c, r, k in zip(*state.get)}
-    for f in frames:
-        for row in zip(f["id"], f["received_us"], f["created_us"], f["code"]):
-            old = buffered.get(row[0])
-            if old is None or row[1:] > old:  # of one message the last delivery counts
-                buffered[row[0]] = row[1:]
-    ids = list(buffered)
-    state.update((ids, [int(buffered[i][1]) for i in ids], [int(buffered[i][0]) for i in ids], [int(buffered[i][2]) for i in ids]))
-    last = max(max(v[0] for v in buffered.values()), max(v[1] for v in buffered.values())) // 1000
-    state.setTimeoutTimestamp(max(int(last) + LATENESS_MS, state.getCurrentWatermarkMs() + 1))
-    yield from ()
+    if done:
+        yield in_order(done)
 
 
 def prepared(messages: DataFrame) -> DataFrame:
@@ -124,12 +140,11 @@ def _open_segments(spark: SparkSession, checkpoint: str) -> DataFrame:
 
     def run(frames):
         for f in frames:
-            done = [pd.DataFrame(in_order(c, d, list(i), list(t), list(k))) for c, d, i, t, k in zip(f["conversation_id"], f["day"], f["ids"], f["created"], f["codes"])]
-            if done:
-                yield pd.concat(done)
+            for columns in zip(f["conversations"], f["days"], f["ids"], f["created"], f["received"], f["codes"]):
+                yield in_order(buffered(columns))
 
     left = spark.read.format("statestore").load(checkpoint)
-    state = left.select("key.*", "value.groupState.*").select("conversation_id", "day", "ids", "created", "codes")
+    state = left.select("value.groupState.*").select("conversations", "days", "ids", "created", "received", "codes")
     return state.mapInPandas(run, _OUT)
 
 
@@ -140,11 +155,12 @@ def segments(spark: SparkSession, stream: DataFrame, known: DataFrame) -> DataFr
     past the watermark are emitted as it moves on; those still open at the end are
     taken from the state. Rows later than the watermark raise ``LateRows``.
     """
+    slots = SLOTS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     ids = known.select(F.col("id").alias("conversation_id")).filter("conversation_id is not null").distinct()
     rows = prepared(stream.select("id", "conversation_id", "role", "content", "created_at", "received_at")).join(ids, "conversation_id", "left_semi")
     state = (
-        rows.withWatermark("event_time", LATENESS).groupBy("conversation_id", "day")
-        .applyInPandasWithState(segment, _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+        rows.withColumn("slot", F.pmod(F.xxhash64("conversation_id", "day"), F.lit(slots))).withWatermark("event_time", LATENESS).groupBy("slot")
+        .applyInPandasWithState(slot, _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
     )
     out, checkpoint = shared_dir(spark, "segments"), shared_dir(spark, "state")
     query = state.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode("append").start(out)
