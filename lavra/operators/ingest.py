@@ -8,10 +8,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from ..functions.text import fold
 from ..session import table
+from .scans import by_rows, running_sum
 
 MAX_CHARS, OVERLAP = 1600, 150
 QUERIES: dict = {}
@@ -33,8 +33,8 @@ def query(sql: str = ""):
 def section_split(spark, d):
     """The running section of each block: a new one at each heading of the first level."""
     b = table(spark, d, "blocks").select("document_id", "block_id", "block_index", "kind", "level").distinct()
-    w = W.partitionBy("document_id").orderBy("block_index", "block_id").rowsBetween(W.unboundedPreceding, 0)
-    return b.select("block_id", F.sum(F.when((F.col("kind") == "section") & (F.col("level") <= 1), 1).otherwise(0)).over(w).alias("section"))
+    new = F.when((F.col("kind") == "section") & (F.col("level") <= 1), 1).otherwise(0)
+    return running_sum(b, ["document_id"], ["block_index", "block_id"], new, by_rows("block_index"), "section", own=True).select("block_id", "section")
 
 
 _ENDS = re.compile(r"[.!?;:…]\s+(?=[A-ZÀ-Þ0-9\"“«])")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.text import extract_values, fold, item_covers, truncate, words  # noqa: F401
+from ..operators.scans import by_day, last_before, running_sum
 from ..session import table
 
 QUERIES: dict = {}
@@ -82,6 +83,11 @@ def leaf_parents(spark, d):
     return c.select("document_id", "chunk_set_id", "parent_label", F.col("rowid").alias("leaf")).join(p, ["document_id", "chunk_set_id", "parent_label"]).select("leaf", "parent", "parent_kind").distinct()
 
 
+#: The same in SQL: k(key, ws).
+WORKSPACE_KEYS = """k as (select key, ws from (select call_code as key, id ws, 2 o from workspaces union all select name, id, 1 from workspaces union all select id, id, 0 from workspaces)
+            where key is not null qualify row_number() over (partition by key order by o desc, ws desc)=1)"""
+
+
 def workspace_keys(spark: SparkSession, d: str) -> DataFrame:
     """``key, workspace_id``: what a workspace may be called by, its id, name or call code; of equal keys the last wins."""
     keys = table(spark, d, "workspaces").select(F.col("id").alias("ws"), F.posexplode(F.array("id", "name", "call_code")).alias("o", "key")).filter("key is not null")
@@ -217,10 +223,10 @@ def latest_job_events(spark, d):
 @query("""select user_id, event_id, sum(case when event_type='error' and coalesce(p,'')<>'error' then 1 else 0 end) over (partition by user_id order by ts, event_id) as attempt
           from (select *, lag(event_type) over (partition by user_id order by ts, event_id) p from events)""")
 def job_attempts(spark, d):
-    w = W.partitionBy("user_id").orderBy("ts", "event_id")
-    e = table(spark, d, "events").withColumn("p", F.lag("event_type").over(w))
+    e = table(spark, d, "events").select("user_id", "event_id", "event_type", "ts")
+    e = last_before(e, ["user_id"], ["ts", "event_id"], F.col("event_type"), by_day("ts"), "p")
     enters = F.when((F.col("event_type") == "error") & (F.coalesce("p", F.lit("")) != "error"), 1).otherwise(0)
-    return e.select("user_id", "event_id", F.sum(enters).over(w.rowsBetween(W.unboundedPreceding, 0)).alias("attempt"))
+    return running_sum(e, ["user_id"], ["ts", "event_id"], enters, by_day("ts"), "attempt", own=True).select("user_id", "event_id", "attempt")
 
 
 @query("""select rowid, sha256(coalesce(text,'')) as hash from (select distinct rowid, text from chunks)""")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..operators.scans import by_day, last_before
 from ..session import table
 
 QUERIES: dict = {}
@@ -58,32 +59,35 @@ def arm_workspace_summary(spark, d):
     return c.groupingSets([[F.col("model")], [F.col("workspace_id"), F.col("model")]], "model", "workspace_id").agg(*measures()).select("model", "workspace_id", "n", "errors", "fit_rate", "repaired_rate", "mean_latency", "chars")
 
 
-#: The arms of the stored answers.
-ARMS = ["m-leve-1", "m-grande-2", "m-local-7b"]
-
-
-@query(f"""with {_CASES} select workspace_id, count(*) filter(model='m-leve-1') as light, count(*) filter(model='m-grande-2') as large, count(*) filter(model='m-local-7b') as own, count(*) filter(model is null) as unknown
- from c group by workspace_id""")
+@query(f"""with {_CASES} select workspace_id, coalesce(model, '(none)') as arm, count(*) as cases, count(*) filter(not error and status='answered') as answered from c group by 1, 2""")
 def workspace_matrix(spark, d):
-    one = lambda m, n: F.count_if(F.col("model") == m).alias(n)
-    return cases(spark, d).groupBy("workspace_id").agg(one(ARMS[0], "light"), one(ARMS[1], "large"), one(ARMS[2], "own"), F.count_if(F.col("model").isNull()).alias("unknown"))
+    """Cells of workspace and arm, whatever arms the answers have."""
+    g = cases(spark, d).groupBy("workspace_id", F.coalesce("model", F.lit("(none)")).alias("arm"))
+    return g.agg(F.count("*").alias("cases"), F.count_if(~F.col("error") & (F.col("status") == "answered")).alias("answered"))
 
 
-@query(f"""with {_CASES}, m as (select workspace_id, avg(latency_ms) filter(model='m-leve-1') a, avg(latency_ms) filter(model='m-grande-2') b from c where not error group by 1)
- select workspace_id, round(least(a,b),6) as best, case when a<=b then 'm-leve-1' else 'm-grande-2' end as arm from m where a is not null and b is not null""")
+@query(f"""with {_CASES}, m as (select workspace_id, model as arm, round(avg(latency_ms),6) mean from c where not error and model is not null and latency_ms is not null group by 1,2)
+ select workspace_id, arm, mean as best, count(*) over (partition by workspace_id) as arms from m qualify count(*) over (partition by workspace_id)>=2 and row_number() over (partition by workspace_id order by mean, arm)=1""")
 def best_of_arms(spark, d):
-    """The faster of two arms in each workspace that has both."""
-    a = lambda m: F.avg(F.when(F.col("model") == m, F.col("latency_ms")))
-    m = cases(spark, d).filter(~F.col("error")).groupBy("workspace_id").agg(a(ARMS[0]).alias("a"), a(ARMS[1]).alias("b")).filter("a is not null and b is not null")
-    return m.select("workspace_id", F.round(F.least("a", "b"), 6).alias("best"), F.when(F.col("a") <= F.col("b"), ARMS[0]).otherwise(ARMS[1]).alias("arm"))
+    """The fastest arm of each workspace that has two or more."""
+    m = cases(spark, d).filter(~F.col("error") & F.col("model").isNotNull() & F.col("latency_ms").isNotNull()).groupBy("workspace_id", F.col("model").alias("arm")).agg(F.round(F.avg("latency_ms"), 6).alias("mean"))
+    return m.groupBy("workspace_id").agg(F.min(F.struct("mean", "arm")).alias("x"), F.count("*").alias("arms")).filter("arms >= 2").select("workspace_id", "x.arm", F.col("x.mean").alias("best"), "arms")
+
 
+_SHUT = "coalesce(regexp_matches(regexp_extract(regexp_extract(content, '(\\S[^\\n]*)', 1), '^([^.!?]*[.!?]?)', 1), '(?i)n[ãa]o consta nos documentos'), false)"
 
-@query(f"with {_CASES} select id, (not error and coalesce(fits_in_window,0)=1) and not (coalesce(feedback,'')='down') as correct from c")
+
+@query(f"""with {_CASES}, t as (select id, arg_max(content, received_at) content from messages where id is not null group by id)
+ select id, (not error and not (coalesce(status in ('not_found','unsupported'), false) or {_SHUT}) and coalesce(status,'')<>'clarification') and coalesce(feedback,'')<>'down' as correct from c join t using (id)""")
 def verdict_override(spark, d):
-    """A verdict by rule, taken back where a reader has marked the answer."""
-    c = cases(spark, d)
-    marked = c.filter("feedback = 'down'").select("id", F.lit(True).alias("wrong"))
-    return c.join(marked, "id", "left").select("id", (~F.col("error") & (F.coalesce("fits_in_window", F.lit(0)) == 1) & F.col("wrong").isNull()).alias("correct"))
+    """Whether an answer stands: no error, no abstention, no question back, and not marked wrong by a reader."""
+    from ..functions.text import abstains
+
+    m = table(spark, d, "messages").filter("id is not null").groupBy("id").agg(F.max_by("content", "received_at").alias("content"))
+    c = cases(spark, d).join(m, "id")
+    marked = c.filter("feedback = 'down'").select("id", F.lit(True).alias("wrong")).distinct()
+    stands = ~F.col("error") & ~abstains(F.col("status"), F.col("content")) & (F.coalesce("status", F.lit("")) != "clarification")
+    return c.join(marked, "id", "left").select("id", (stands & F.col("wrong").isNull()).alias("correct"))
 
 
 @query("""with q as (select distinct row_id, id, workspace, topic, nivel, answerable from nucleo) select split_part(id,'-',1) as set_name, count(*) as questions, count(distinct workspace) as workspaces,
@@ -105,5 +109,5 @@ def answer_turns(spark, d):
  select id, last_value(case when lower(trim(role,' '))='user' then content end ignore nulls) over (partition by conversation_id order by created_at, id rows between unbounded preceding and 1 preceding) as previous from m""")
 def previous_user_turn(spark, d):
     m = table(spark, d, "messages").filter("id is not null and conversation_id is not null and created_at is not null").select("id", "conversation_id", "role", "content", "created_at").distinct()
-    w = W.partitionBy("conversation_id").orderBy("created_at", "id").rowsBetween(W.unboundedPreceding, -1)
-    return m.select("id", F.last(F.when(F.lower(F.trim("role")) == "user", F.col("content")), ignorenulls=True).over(w).alias("previous"))
+    own = F.when(F.lower(F.trim("role")) == "user", F.col("content"))
+    return last_before(m, ["conversation_id"], ["created_at", "id"], own, by_day("created_at"), "previous").select("id", "previous")

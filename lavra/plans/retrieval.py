@@ -88,10 +88,6 @@ def scope_of(spark: SparkSession, d: str) -> DataFrame:
     return chunks_of(spark, d).drop("workspace_id").join(docs, "document_id")
 
 
-_P = "regexp_split_to_array({}, '[^\\p{{L}}\\p{{N}}]+')"
-_STOP = "('a','o','e','é','as','os','de','da','do','das','dos','em','no','na','nos','nas','um','uma','uns','umas','que','qual','quais','quem','como','quando','onde','por','para','pra','com','sem','se','ao','à','aos','às','ou','mas','sobre','entre','ser','são','foi','está','estão','há','tem','têm','pelo','pela','pelos','pelas','esse','essa','este','esta','isso','isto','aquele','aquela','me','meu','minha','seu','sua','ele','ela','eu')"
-
-
 @query()
 def bm25_search(spark, d):
     """The lexical candidates of every question (tests hold them against a brute-force scorer)."""
@@ -145,15 +141,6 @@ _VEC = """v as (select chunk_rowid rowid, max(workspace_id) workspace_id, max(em
  and len(list_filter(embedding, lambda x: x<>0))>0 group by 1)"""
 
 
-@query(f"""with {_VEC}, s as (select q.rowid qid, c.rowid, list_distance(q.v::double[], c.v::double[]) dist from v q join v c on q.workspace_id=c.workspace_id where q.rowid%20=0)
- select qid, rowid, round(dist,5) as dist, row_number() over (partition by qid order by round(dist,9), rowid) as rank from s qualify rank<=10""")
-def knn_search(spark, d):
-    """The ten nearest m-base vectors of the same workspace for every m-base query vector (ids divisible by 20), as the SQL has it; ``knn_search_all`` takes every model."""
-    v = _clean_vectors(spark, d)
-    q = v.filter("rowid % 20 = 0").select(F.col("rowid").alias("qid"), "workspace_id", F.col("v").alias("q"))
-    return exact_knn(spark, q, v, 10).select("qid", "rowid", F.round("dist", 5).alias("dist"), "rank")
-
-
 def model_vectors(spark: SparkSession, d: str) -> DataFrame:
     """``rowid, model_id, workspace_id, v``: the whole, finite vectors that are not all zero of every model, one a chunk and model, the last written.
 
@@ -168,9 +155,15 @@ def model_vectors(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("rowid", "model_id", "x.workspace_id", F.col("x.embedding").alias("v"))
 
 
-@query()
-def knn_search_all(spark, d):
-    """The ten nearest vectors of the same workspace and model for every query vector (ids divisible by 20) of every model (tests hold them against brute force)."""
+_GOOD = "chunk_rowid is not null and workspace_id is not null and model_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x)))=0 and len(list_filter(embedding, lambda x: x<>0))>0"
+
+
+@query(f"""with t as (select *, len(embedding) n from vec0 where {_GOOD}), own as (select model_id, n from (select model_id, n, count(*) c from t group by 1,2) qualify row_number() over (partition by model_id order by c desc, n desc)=1),
+ v as (select chunk_rowid rowid, t.model_id, workspace_id, embedding v from t join own using (model_id, n) qualify row_number() over (partition by chunk_rowid, t.model_id order by created_at desc, embedding desc)=1),
+ s as (select q.rowid qid, q.model_id, c.rowid, list_distance(q.v::double[], c.v::double[]) dist from v q join v c on q.workspace_id=c.workspace_id and q.model_id=c.model_id where q.rowid%20=0)
+ select qid, model_id, rowid, round(dist,5) as dist, row_number() over (partition by qid, model_id order by round(dist,9), rowid) as rank from s qualify rank<=10""")
+def knn_search(spark, d):
+    """The ten nearest vectors of the same workspace and model for every query vector (ids divisible by 20) of every model."""
     v = materialize(spark, model_vectors(spark, d), "vectors")
     q = v.filter("rowid % 20 = 0").select(F.col("rowid").alias("qid"), "model_id", "workspace_id", F.col("v").alias("q"))
     return exact_knn(spark, q, v, 10, ("workspace_id", "model_id")).select("qid", "model_id", "rowid", F.round("dist", 5).alias("dist"), "rank")
@@ -308,17 +301,11 @@ def named_documents(spark, d):
 _FW = "list_filter(regexp_split_to_array(regexp_replace(strip_accents(lower(text)), '\\p{M}', '', 'g'), '[^\\p{L}\\p{N}]+'), lambda t: length(t)>=4 and not regexp_matches(t,'^\\d+$') and t not in (" + ",".join(f"'{w}'" for w in FEEDBACK_STOP_WORDS) + "))"
 
 
-@query(f"""with c as (select distinct on (rowid) rowid, document_id, text from chunks where text is not null and not regexp_matches(text, '[^\\x00-ɏ‐-—“”…•]')), t as (select document_id, rowid, unnest({_FW}) w from c),
+@query(f"""with c as (select distinct on (rowid) rowid, document_id, text from chunks where text is not null), t as (select document_id, rowid, unnest({_FW}) w from c),
  n as (select document_id, count(*) n from c group by 1), f as (select document_id, w, count(distinct rowid) df, count(*) tf from t group by 1,2)
  select document_id, w as term, round(tf*ln((n+1.0::double)/(df+1)),6) as weight from f join n using (document_id) where n>df qualify row_number() over (partition by document_id order by weight desc, w)<=8""")
 def feedback_terms(spark, d):
-    """``distinctive_terms`` of the Latin-script chunks, as the SQL has them; ``feedback_terms_all`` leaves no chunk out."""
-    return distinctive_terms(table(spark, d, "chunks").filter(F.col("text").isNotNull() & ~F.col("text").rlike("[^\\x00-ɏ‐-—“”…•]")))
-
-
-@query()
-def feedback_terms_all(spark, d):
-    """``distinctive_terms`` of all chunks with text, whatever their script (tests hold them against brute force)."""
+    """``distinctive_terms`` of all chunks with text, whatever their script."""
     return distinctive_terms(table(spark, d, "chunks").filter("text is not null"))
 
 

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import LABEL, abstains, claim_tokens, extract_values, fold, index_tokens, item_covers, number_variants, query_phrases, words  # noqa: F401
+from ..operators.scans import by_rows, last_before, running_sum
 from ..session import table
-from .catalog import workspace_keys
+from .catalog import WORKSPACE_KEYS, workspace_keys
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -30,15 +31,9 @@ def folded_headings(spark, d):
 
 
 @query(f"""select token, count(*) as df, sum(n) as tf from (select rowid, token, count(*) n from (select rowid, unnest(list_filter(regexp_split_to_array({_FOLD.format("coalesce(text,'')")}, '[^\\p{{L}}\\p{{N}}]+'),
-          lambda w: w<>'')) as token from (select distinct rowid, text from chunks where not regexp_matches(coalesce(text,''), '[^\\x00-ɏ‐-—“”…•]'))) group by rowid, token) group by token""")
+          lambda w: w<>'')) as token from (select distinct rowid, text from chunks)) group by rowid, token) group by token""")
 def lexicon(spark, d):
-    """Terms of the Latin-script chunks with document and term frequency, as the SQL has them; ``lexicon_all`` leaves no chunk out."""
-    return term_counts(table(spark, d, "chunks").filter(~F.coalesce("text", F.lit("")).rlike("[^\\x00-ɏ‐-—“”…•]")))
-
-
-@query()
-def lexicon_all(spark, d):
-    """Terms of all chunks, whatever their script, with document and term frequency (tests hold them against a brute-force count)."""
+    """Terms of all chunks, whatever their script, with document and term frequency."""
     return term_counts(table(spark, d, "chunks"))
 
 
@@ -93,16 +88,10 @@ def abstaining_messages(spark, d):
     return table(spark, d, "messages").filter("id is not null").select("id", abstains(F.lit("answered"), F.col("content")).alias("abstains")).distinct()
 
 
-@query("""select distinct n.row_id, c.rowid from nucleo n join workspaces w on w.call_code=n.workspace join chunks c on c.workspace_id=w.id and c.item_number is not null
+@query(f"""with {WORKSPACE_KEYS} select distinct n.row_id, c.rowid from nucleo n join k on k.key=n.workspace join chunks c on c.workspace_id=k.ws and c.item_number is not null
           where n.expected_item is not null and n.expected_item<>'' and (c.item_number=n.expected_item or starts_with(c.item_number, n.expected_item||'.') or starts_with(n.expected_item, c.item_number||'.'))""")
 def expected_item_chunks(spark, d):
-    """Chunks of the expected items of questions that name their workspace by call code, as the SQL does; ``expected_item_chunks_all`` takes id and name too."""
-    return item_chunks(spark, d, table(spark, d, "workspaces").select(F.col("call_code").alias("workspace"), F.col("id").alias("workspace_id")))
-
-
-@query()
-def expected_item_chunks_all(spark, d):
-    """Chunks of the expected item of every question whose workspace is known by id, name or call code (tests hold them against brute force)."""
+    """Chunks of the expected item of every question whose workspace is known by id, name or call code."""
     return item_chunks(spark, d, workspace_keys(spark, d).withColumnRenamed("key", "workspace"))
 
 
@@ -115,6 +104,7 @@ def item_chunks(spark: SparkSession, d: str, w: DataFrame) -> DataFrame:
     return q.join(c, ["workspace_id", "head"]).filter(item_covers(F.col("item_number"), F.col("expected_item"))).select("row_id", "rowid").distinct()
 
 
+#: What opens a numbered block, in the order in which the rules hold.
 _NUMBERING = [
     ("item", r"^(\d{1,2}(?:\.\d{1,2}){1,5})\s*\.?(?:\s+|$)"), ("section", r"^ANEXO\s+([IVXLC]+|\d{1,2})(?:$|[^A-Za-z0-9_])"), ("section", r"^CL[ÁA]USULA\s+([\p{L}\p{N}]+[ªº°]?)"),
     ("item", r"^Art(?:\.|igo)?\s*(\d{1,3})[ºo°]?(?:$|[^\d.])"), ("item", r"^§\s*(\d{1,2})[ºo°]?"), ("item", r"^(?i:Par[áa]grafo\s+([úu]nico))"), ("section", r"^(\d{1,2})(?:\.\s*|\s+)\p{Lu}"),
@@ -152,18 +142,13 @@ def repeated_lines(spark, d):
  select block_id, coalesce(sum(n+2) over (partition by document_id order by block_index, block_id rows between unbounded preceding and 1 preceding),0) as offset_start from b""")
 def block_offsets(spark, d):
     """Where each block begins in the document's text, blocks joined by an empty line."""
-    from pyspark.sql.window import Window as W
-
     b = table(spark, d, "blocks").select("document_id", "block_id", "block_index", F.length(F.coalesce("text", F.lit(""))).alias("n")).distinct()
-    w = W.partitionBy("document_id").orderBy("block_index", "block_id").rowsBetween(W.unboundedPreceding, -1)
-    return b.select("block_id", F.coalesce(F.sum(F.col("n") + 2).over(w), F.lit(0)).alias("offset_start"))
+    return running_sum(b, ["document_id"], ["block_index", "block_id"], F.col("n") + 2, by_rows("block_index"), "offset_start").select("block_id", "offset_start")
 
 
 @query("""with b as (select distinct document_id, block_id, block_index, kind, text from blocks) select block_id, last_value(case when kind='section' then text end ignore nulls)
           over (partition by document_id order by block_index, block_id rows between unbounded preceding and 1 preceding) as heading from b""")
 def current_heading(spark, d):
-    from pyspark.sql.window import Window as W
-
     b = table(spark, d, "blocks").select("document_id", "block_id", "block_index", "kind", "text").distinct()
-    w = W.partitionBy("document_id").orderBy("block_index", "block_id").rowsBetween(W.unboundedPreceding, -1)
-    return b.select("block_id", F.last(F.when(F.col("kind") == "section", F.col("text")), ignorenulls=True).over(w).alias("heading"))
+    own = F.when(F.col("kind") == "section", F.col("text"))
+    return last_before(b, ["document_id"], ["block_index", "block_id"], own, by_rows("block_index"), "heading").select("block_id", "heading")

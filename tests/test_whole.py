@@ -46,19 +46,19 @@ def scripts(spark, tmp_path_factory):
 
 
 @pytest.mark.parametrize("data", ["fixture", DATA])
-def test_lexicon_all_counts_every_script(spark, scripts, data):
+def test_lexicon_counts_every_script(spark, scripts, data):
     d = scripts if data == "fixture" else data
     df, tf = Counter(), Counter()
     for _, _, t in chunk_texts(spark, d):
         n = Counter(tokens(t))
         df.update(n.keys())
         tf.update(n)
-    got = {unicodedata.normalize("NFC", r["token"]): (r["df"], r["tf"]) for r in texts.QUERIES["lexicon_all"](spark, d).collect()}
+    got = {unicodedata.normalize("NFC", r["token"]): (r["df"], r["tf"]) for r in texts.QUERIES["lexicon"](spark, d).collect()}
     assert got == {w: (df[w], tf[w]) for w in df}
 
 
 @pytest.mark.parametrize("data", ["fixture", DATA])
-def test_feedback_terms_all_rank_every_script(spark, scripts, data):
+def test_feedback_terms_rank_every_script(spark, scripts, data):
     d = scripts if data == "fixture" else data
     docs = defaultdict(list)
     for _, doc, t in sorted(chunk_texts(spark, d), key=str):
@@ -69,7 +69,7 @@ def test_feedback_terms_all_rank_every_script(spark, scripts, data):
         tf, df = sum(counts, Counter()), Counter(w for c in counts for w in c)
         ranked = sorted((-round(tf[w] * math.log((len(counts) + 1) / (df[w] + 1)), 6), w) for w in tf if len(counts) > df[w])
         want |= {(doc, w, -x) for x, w in ranked[:8]}
-    assert {(r["document_id"], r["term"], r["weight"]) for r in retrieval.QUERIES["feedback_terms_all"](spark, d).collect()} == want
+    assert {(r["document_id"], r["term"], r["weight"]) for r in retrieval.QUERIES["feedback_terms"](spark, d).collect()} == want
 
 
 def known_workspaces(spark, d):
@@ -99,7 +99,7 @@ def test_grounding_context_of_every_question(spark):
     for r in spark.read.parquet(f"{DATA}/nucleo.parquet").filter("expected_item <> ''").select("row_id", "workspace", "expected_item").collect():
         x = r["expected_item"]
         want |= {(r["row_id"], rowid) for rowid, i in chunks[keys.get(r["workspace"])] if i == x or i.startswith(x + ".") or x.startswith(i + ".")}
-    assert {(r["row_id"], r["rowid"]) for r in texts.QUERIES["expected_item_chunks_all"](spark, DATA).collect()} == want
+    assert {(r["row_id"], r["rowid"]) for r in texts.QUERIES["expected_item_chunks"](spark, DATA).collect()} == want
     _, context = answers._answers(spark, DATA)
     assert {r["aid"] for r in context.select("aid").distinct().collect()} == {row for row, _ in want}
 
@@ -114,7 +114,7 @@ def test_dense_list_is_cut_to_the_scope_before_the_search(spark):
     assert got == [(1, 1, 10)] + [(i + 2, 1, 200 + i) for i in range(29)]
 
 
-def test_knn_search_all_covers_every_model(spark):
+def test_knn_search_covers_every_model(spark):
     spaces = defaultdict(dict)
     rows = {(r["chunk_rowid"], r["workspace_id"], r["model_id"], tuple(r["embedding"])) for r in spark.read.parquet(f"{DATA}/vec0.parquet").filter("embedding is not null").collect()}
     length = {"m-base": 96, "m-mini": 64}
@@ -127,5 +127,5 @@ def test_knn_search_all_covers_every_model(spark):
             near = sorted((round(float(np.sqrt(((v - vs[qid]) ** 2).sum())), 9), rowid) for rowid, v in vs.items())[:10]
             want |= {(qid, model, i + 1, rowid): x for i, (x, rowid) in enumerate(near)}
     assert {m for _, m, *_ in want} == {"m-base", "m-mini"}
-    got = {(r["qid"], r["model_id"], r["rank"], r["rowid"]): r["dist"] for r in retrieval.QUERIES["knn_search_all"](spark, DATA).collect()}
+    got = {(r["qid"], r["model_id"], r["rank"], r["rowid"]): r["dist"] for r in retrieval.QUERIES["knn_search"](spark, DATA).collect()}
     assert got == pytest.approx(want, abs=1e-5)
