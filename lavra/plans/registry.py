@@ -11,6 +11,7 @@ MODULES = [
     "lavra.plans.texts",
     "lavra.plans.retrieval",
     "lavra.plans.evaluation",
+    "lavra.plans.structure",
     "lavra.operators.answers",
     "lavra.operators.ingest",
     "lavra.streaming.jobs",
