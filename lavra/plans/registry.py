@@ -12,6 +12,8 @@ MODULES = [
     "lavra.plans.retrieval",
     "lavra.plans.evaluation",
     "lavra.plans.structure",
+    "lavra.plans.dialogue",
+    "lavra.plans.upkeep",
     "lavra.operators.answers",
     "lavra.operators.ingest",
     "lavra.streaming.jobs",
