@@ -54,7 +54,7 @@ def message_citations(spark, d):
     return j.select("id", "ordinal", "label", "rowid", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("doc_type", F.lit("edital")).alias("doc_type"), F.col("rowid").isNotNull().alias("valid"))
 
 
-@query(f"""with {_CITED}, k as (select distinct label from chunks) select m.id, trim(regexp_replace(regexp_replace(m.content, '[ \\t]*\\[c_[0-9a-f]{{6}}\\]', '', 'g'), '\\s+', ' ', 'g')) as plain, (select count(*) from cit where cit.id=m.id) as labels,
+@query(f"""with {_CITED}, k as (select distinct label from chunks) select m.id, trim(regexp_replace(regexp_replace(m.content, '[ \\t]*\\[c_[0-9a-f]{{6}}\\]', '', 'g'), '\\s+', ' ', 'g'), ' ') as plain, (select count(*) from cit where cit.id=m.id) as labels,
  (select count(*) from cit where cit.id=m.id and label in (select label from k)) as known from m where r='assistant' and content is not null""")
 def uncited_text(spark, d):
     """Answers without their labels and the blanks before them, with the number of labels and of those some chunk has."""
@@ -119,8 +119,8 @@ def condensed_questions(spark, d):
 _CHASE = r"n[ãa]o (consta|encontrei|foi encontrad|h[áa] informa|localizei|est[áa] previst)|sem informa[çc][ãa]o|n[ãa]o [ée] poss[íi]vel (responder|determinar)"
 
 
-@query(f"""with {_LAST} select id, coalesce(regexp_matches(content, '(?i){_CHASE}'), false) as chase, length(trim(regexp_replace(content, '\\s+', ' ', 'g'))) as chars,
- case when length(trim(regexp_replace(content, '\\s+', ' ', 'g')))>200 then left(trim(regexp_replace(content, '\\s+', ' ', 'g')),199) || '…' else trim(regexp_replace(content, '\\s+', ' ', 'g')) end as excerpt from m where r='assistant' and content is not null""")
+@query(f"""with {_LAST} select id, coalesce(regexp_matches(content, '(?i){_CHASE}'), false) as chase, length(trim(regexp_replace(content, '\\s+', ' ', 'g'), ' ')) as chars,
+ case when length(trim(regexp_replace(content, '\\s+', ' ', 'g'), ' '))>200 then left(trim(regexp_replace(content, '\\s+', ' ', 'g'), ' '),199) || '…' else trim(regexp_replace(content, '\\s+', ' ', 'g'), ' ') end as excerpt from m where r='assistant' and content is not null""")
 def answer_excerpts(spark, d):
     """Whether an answer looks like it found nothing, so that another search is worth while, and its first 200 characters."""
     m = last_messages(spark, d).filter("r = 'assistant' and content is not null").withColumn("x", F.trim(F.regexp_replace("content", r"\s+", " ")))

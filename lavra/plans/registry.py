@@ -10,6 +10,7 @@ MODULES = [
     "lavra.plans.catalog",
     "lavra.plans.texts",
     "lavra.plans.retrieval",
+    "lavra.plans.pipeline",
     "lavra.plans.evaluation",
     "lavra.plans.structure",
     "lavra.plans.dialogue",

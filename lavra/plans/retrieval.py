@@ -10,13 +10,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.text import FEEDBACK_STOP_WORDS, TITLE_STOP_WORDS, among, fold, index_tokens, query_phrases, words
+from ..functions.text import FEEDBACK_STOP_WORDS, QUERY_STOP_WORDS, TITLE_STOP_WORDS, among, fold, index_tokens, query_phrases, words
 from ..session import materialize, table
-from .catalog import retrievable, workspace_keys
+from .catalog import WORKSPACE_KEYS, retrievable, workspace_keys
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -24,7 +25,9 @@ ORACLE: dict[str, str] = {}
 K1, B, WEIGHT_TEXT, WEIGHT_PREFIX = 1.2, 0.75, 1.0, 0.5
 #: Rows of all workspaces together that make one block of an exact vector search.
 BLOCK_ROWS = 20_000
-CANDIDATES, RRF_K, TOP_K, BUDGET, MAX_CHARS = 30, 1, 12, 28000, 1600
+#: Queries that meet a block at once, and spare candidates whose distance is taken exactly.
+ROWS_AT_ONCE, SPARE = 256, 8
+CANDIDATES, RRF_K, TOP_K = 30, 1, 12
 
 
 def query(sql: str = ""):
@@ -47,14 +50,6 @@ def questions_of(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "nucleo").filter("question is not null").select("row_id", "workspace", "question").distinct().join(w, "workspace").select(F.col("row_id").alias("qid"), "workspace_id", "question")
 
 
-def lexical_index(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Postings (term, rowid, tf, positions in text) and length of each row."""
-    t = chunks.select("rowid", index_tokens(F.col("text")).alias("t"), index_tokens(F.col("context_prefix")).alias("p"))
-    length = t.select("rowid", (F.size("t") + F.size("p")).alias("len"))
-    part = lambda c, k: t.select("rowid", F.lit(k).alias("field"), F.posexplode(c).alias("pos", "term"))
-    return part("t", "t").unionByName(part("p", "p")), length
-
-
 def bm25(spark: SparkSession, questions: DataFrame, chunks: DataFrame, scope: DataFrame, k: int = CANDIDATES) -> DataFrame:
     """``qid, rowid, score, rank``: the best k rows of each question's scope.
 
@@ -63,22 +58,26 @@ def bm25(spark: SparkSession, questions: DataFrame, chunks: DataFrame, scope: Da
     half of the rows score almost nothing. Questions without words, and empty
     scopes, have no rows. Ties go to the smaller rowid.
     """
-    postings, length = lexical_index(chunks)
-    stats = length.agg(F.count("*").alias("n_rows"), F.avg("len").alias("avg_len"))  # one row
     phrases = questions.select("qid", "workspace_id", F.explode(query_phrases(F.col("question"))).alias("phrase"))
-    distinct = phrases.select("phrase").distinct().withColumn("key", F.array_join("phrase", " "))
-    # every token of a phrase joins the postings; a match is a start position that all tokens agree on
-    wanted = distinct.select("key", F.size("phrase").alias("size"), F.posexplode("phrase").alias("i", "term"))
-    hits = wanted.join(postings, "term").groupBy("key", "size", "rowid", "field", (F.col("pos") - F.col("i")).alias("at")).agg(F.count("*").alias("c")).filter("c = size")
-    tf = hits.groupBy("key", "rowid").agg(F.sum(F.when(F.col("field") == "t", WEIGHT_TEXT).otherwise(WEIGHT_PREFIX)).alias("tf"))
-    tf = materialize(spark, tf, "tf")
+    # what the questions ask for is written once: its size is known, so it is broadcast where it is small, and only its postings are kept
+    wanted = phrases.select("phrase").distinct().select(F.array_join("phrase", " ").alias("key"), F.size("phrase").alias("size"), F.posexplode("phrase").alias("i", "term"))
+    wanted = materialize(spark, wanted, "wanted")
+    t = chunks.select("rowid", index_tokens(F.col("text")).alias("t"), index_tokens(F.col("context_prefix")).alias("p"))
+    length = t.select("rowid", (F.size("t") + F.size("p")).alias("len"))
+    stats = length.agg(F.count("*").alias("n_rows"), F.avg("len").alias("avg_len"))  # one row
+    field = lambda c, w: t.select("rowid", F.lit(w).alias("weight"), F.posexplode(c).alias("pos", "term"))
+    hits = field("t", WEIGHT_TEXT).unionByName(field("p", WEIGHT_PREFIX)).join(wanted, "term")
+    # a word counts where it stands; the tokens of a longer phrase must agree on where it begins
+    words_ = hits.filter("size = 1").select("key", "rowid", "weight")
+    longer = hits.filter("size > 1").groupBy("key", "size", "rowid", "weight", (F.col("pos") - F.col("i")).alias("at")).agg(F.count("*").alias("c")).filter("c = size").select("key", "rowid", "weight")
+    tf = materialize(spark, words_.unionByName(longer).groupBy("key", "rowid").agg(F.sum("weight").alias("tf")), "tf")
     df = tf.groupBy("key").agg(F.count("*").alias("df"))
     raw = F.log((F.col("n_rows") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = df.join(F.broadcast(stats)).select("key", "avg_len", F.when(raw <= 0, 1e-6).otherwise(raw).alias("idf"))
     weight = tf.join(idf, "key").join(length, "rowid").select("key", "rowid", (F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))).alias("w"))
     inside = scope.select("workspace_id", "rowid")
     scored = phrases.select("qid", "workspace_id", F.array_join("phrase", " ").alias("key")).distinct().join(weight.join(inside, "rowid"), ["key", "workspace_id"])
-    total = scored.groupBy("qid", "rowid").agg(F.aggregate(F.array_sort(F.collect_list(F.struct("key", "w"))), F.lit(0.0), lambda a, x: a + x["w"]).alias("score"))
+    total = scored.groupBy("qid", "rowid").agg(F.sum("w").alias("score"))
     rank = F.row_number().over(W.partitionBy("qid").orderBy(F.round("score", 9).desc(), "rowid"))
     return total.withColumn("rank", rank).filter(F.col("rank") <= k)
 
@@ -88,9 +87,35 @@ def scope_of(spark: SparkSession, d: str) -> DataFrame:
     return chunks_of(spark, d).drop("workspace_id").join(docs, "document_id")
 
 
-@query()
+_TOKENS = "list_filter(regexp_split_to_array(regexp_replace(strip_accents(lower({0})), '\\p{{M}}', '', 'g'), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w<>'')"
+_EXACT = "R\\$\\s?\\d[\\d.]*(?:,\\d+)?|\\d{1,2}/\\d{1,2}/\\d{2,4}|\\d+(?:\\.\\d+)+"
+_VARIANTS = """case when length(w)<3 then [w] when suffix(w,'ões') or suffix(w,'ãos') then [w, left(w,length(w)-3)||'ão'] when suffix(w,'is') and length(w)>4 then [w, left(w,length(w)-2)||'l']
+  when suffix(w,'ns') then [w, left(w,length(w)-2)||'m'] when suffix(w,'res') or suffix(w,'zes') or suffix(w,'ses') then [w, left(w,length(w)-2), left(w,length(w)-1)] when suffix(w,'s') then [w, left(w,length(w)-1)]
+  when suffix(w,'ão') then [w, left(w,length(w)-2)||'ões', left(w,length(w)-2)||'ãos'] when suffix(w,'l') then [w, left(w,length(w)-1)||'is'] when suffix(w,'m') then [w, left(w,length(w)-1)||'ns']
+  when suffix(w,'r') or suffix(w,'z') then [w, w||'es'] else [w, w||'s'] end"""
+_STOPS = "(" + ",".join(f"'{w}'" for w in QUERY_STOP_WORDS) + ")"
+#: The lexical search in SQL: ranked(qid, rowid, score, rank) for the questions q(qid, workspace_id, question).
+_BM25 = f"""w1 as (select *, list_filter(regexp_split_to_array(lower(regexp_replace(question, '{_EXACT}', ' ', 'g')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: length(w)>=2) tk from q),
+ w2 as (select *, list_filter(tk, lambda w: w not in {_STOPS}) ct from w1),
+ ph as (select qid, workspace_id, {_TOKENS.format("x")} phrase from (select qid, workspace_id, unnest(regexp_extract_all(question, '{_EXACT}', 0)) x from q)
+   union all select qid, workspace_id, {_TOKENS.format("v")} from (select qid, workspace_id, unnest(case when regexp_matches(w,'^\\p{{N}}+$') then [w] else {_VARIANTS} end) v from (select qid, workspace_id, unnest(case when len(ct)>0 then ct else tk end) w from w2))),
+ keys as (select distinct qid, workspace_id, array_to_string(phrase,' ') as phrase_key, phrase from ph where len(phrase)>0),
+ wanted as (select phrase_key, len(phrase) size, unnest(phrase) term, generate_subscripts(phrase,1) i from (select distinct phrase_key, phrase from keys)),
+ ch as (select distinct on (rowid) rowid, document_id, {_TOKENS.format("coalesce(text,'')")} t, {_TOKENS.format("coalesce(context_prefix,'')")} p from chunks),
+ idx as (select rowid, 1.0::double wt, unnest(t) term, generate_subscripts(t,1) pos from ch union all select rowid, 0.5::double, unnest(p), generate_subscripts(p,1) from ch),
+ st as (select count(*) n_rows, avg(len(t)+len(p)) avg_len from ch),
+ tf as (select phrase_key, h.rowid, sum(wt) tf from (select phrase_key, wanted.size, idx.rowid, wt, pos-i from wanted join idx using (term) group by all having count(*)=size) h group by 1,2),
+ idf as (select phrase_key, case when ln((n_rows-df+0.5)/(df+0.5))<=0 then 1e-6 else ln((n_rows-df+0.5)/(df+0.5)) end idf, avg_len from (select phrase_key, count(*) df from tf group by 1), st),
+ wg as (select tf.phrase_key, tf.rowid, idf*tf*2.2/(tf+1.2*(0.25+0.75*(len(ch.t)+len(ch.p))/avg_len)) w from tf join idf using (phrase_key) join ch on ch.rowid=tf.rowid),
+ sc as (select ch.rowid, d.workspace_id from ch join documents d on d.document_id=ch.document_id where d.status='ready' and d.is_current),
+ tot as (select keys.qid, wg.rowid, sum(w) score from keys join wg using (phrase_key) join sc on sc.rowid=wg.rowid and sc.workspace_id=keys.workspace_id group by 1,2),
+ ranked as (select *, row_number() over (partition by qid order by round(score,9) desc, rowid) as rank from tot qualify rank<={CANDIDATES})"""
+_ASKED = f"{WORKSPACE_KEYS}, q as (select distinct n.row_id qid, k.ws workspace_id, n.question from nucleo n join k on k.key=n.workspace where n.question is not null)"
+
+
+@query(f"with {_ASKED}, {_BM25} select qid, rowid, rank, round(score,6) as score from ranked")
 def bm25_search(spark, d):
-    """The lexical candidates of every question (tests hold them against a brute-force scorer)."""
+    """The lexical candidates of every question."""
     return bm25(spark, questions_of(spark, d), chunks_of(spark, d), scope_of(spark, d)).select("qid", "rowid", "rank", F.round("score", 6).alias("score"))
 
 
@@ -112,35 +137,28 @@ def exact_knn(spark: SparkSession, queries: DataFrame, vectors: DataFrame, k: in
     right = b.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(asking - 1)).cast("array<bigint>")))
 
     def near(keys, x: pa.Table, y: pa.Table) -> pa.Table:
-        out = {"qid": [], "rowid": [], "dist": []}
-        if len(x) and len(y):
-            ids, vs = np.array(y.column("rowid").to_pylist()), y.column("v").to_pylist()
-            for n in {len(v) for v in vs}:
-                own = [i for i, v in enumerate(vs) if len(v) == n]
-                m, at = np.array([vs[i] for i in own], dtype=np.float64), ids[own]
-                for qid, q in zip(x.column("qid").to_pylist(), x.column("q").to_pylist()):
-                    if len(q) == n:
-                        dist = np.sqrt(((m - np.array(q, dtype=np.float64)) ** 2).sum(axis=1))
-                        for j in np.lexsort((at, dist))[:k]:
-                            out["qid"].append(qid), out["rowid"].append(int(at[j])), out["dist"].append(float(dist[j]))
-        shared = {c: [key.as_py()] * len(out["qid"]) for c, key in zip(within, keys)}
-        return pa.table(out | shared, schema=pa.schema([("qid", pa.int64()), ("rowid", pa.int64()), ("dist", pa.float64()), *((c, pa.string()) for c in within)]))
+        out, ids = [], y.column("rowid").to_numpy()
+        sizes, asked = np.asarray(pa.compute.list_value_length(y.column("v"))), np.asarray(pa.compute.list_value_length(x.column("q")))
+        for n in np.intersect1d(sizes, asked):
+            own, mine = np.flatnonzero(sizes == n), np.flatnonzero(asked == n)
+            m, q = (c.take(pa.array(r)).combine_chunks().flatten().to_numpy().astype(np.float64).reshape(len(r), -1) for c, r in ((y.column("v"), own), (x.column("q"), mine)))
+            for at in range(0, len(q), ROWS_AT_ONCE):
+                part = q[at : at + ROWS_AT_ONCE]
+                # a product of matrices finds the candidates, the distances of these are exact
+                rough = (m**2).sum(axis=1)[None] - 2 * part @ m.T
+                top = np.argpartition(rough, min(k + SPARE, len(m)) - 1, axis=1)[:, : k + SPARE]
+                dist = np.sqrt(((m[top] - part[:, None]) ** 2).sum(axis=2))
+                order = np.lexsort((ids[own][top], dist), axis=1)[:, :k]
+                out.append((np.repeat(mine[at : at + len(part)], order.shape[1]), np.take_along_axis(ids[own][top], order, 1).ravel(), np.take_along_axis(dist, order, 1).ravel()))
+        row, rowid, dist = (np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))
+        shared = [pa.array([key.as_py()] * len(row), type=pa.string()) for key in keys[: len(within)]]
+        return pa.table([x.column("qid").take(pa.array(row)), pa.array(rowid), pa.array(dist), *shared], names=["qid", "rowid", "dist", *within])
 
     keys = [*within, "qb", "vb"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(near, "qid bigint, rowid bigint, dist double" + "".join(f", {c} string" for c in within))
     return found.withColumn("rank", F.row_number().over(W.partitionBy(*within, "qid").orderBy(F.round("dist", 9), "rowid"))).filter(F.col("rank") <= k)
 
 
-def _clean_vectors(spark, d):
-    v = F.col("embedding")
-    good = (F.size(v) == 96) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
-    return table(spark, d, "vec0").filter((F.col("model_id") == "m-base") & good).groupBy(F.col("chunk_rowid").alias("rowid")).agg(F.max("workspace_id").alias("workspace_id"), F.max("embedding").alias("v"))
-
-
-_VEC = """v as (select chunk_rowid rowid, max(workspace_id) workspace_id, max(embedding) v from vec0 where model_id='m-base' and len(embedding)=96 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x)))=0
- and len(list_filter(embedding, lambda x: x<>0))>0 group by 1)"""
-
-
 def model_vectors(spark: SparkSession, d: str) -> DataFrame:
     """``rowid, model_id, workspace_id, v``: the whole, finite vectors that are not all zero of every model, one a chunk and model, the last written.
 
@@ -189,87 +207,6 @@ def select_quota(ranked: DataFrame, principal: DataFrame, top_k: int = TOP_K) ->
     return r.filter(F.col("order") <= top_k).select("qid", "rowid", "document_id", "pos")
 
 
-def fit_budget(ranked: DataFrame, budget: int = BUDGET) -> DataFrame:
-    """Rows that fit the budget in order; a row that does not fit is skipped and later ones still tried."""
-    rows = F.array_sort(F.collect_list(F.struct("pos", "size", "rowid")))
-    start = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast("array<bigint>").alias("kept"))
-    step = lambda a, x: F.when(a["used"] + x["size"] <= budget, F.struct((a["used"] + x["size"]).alias("used"), F.concat(a["kept"], F.array(x["rowid"])).alias("kept"))).otherwise(a)
-    return ranked.groupBy("qid").agg(F.aggregate(rows, start, step).alias("a")).select("qid", F.posexplode("a.kept").alias("place", "rowid"))
-
-
-def _lexical_lists(spark, d):
-    return materialize(spark, bm25_search(spark, d).select("qid", "rowid", "rank"), "lists")
-
-
-def dense_lists(spark: SparkSession, lists: DataFrame, vectors: DataFrame, scope: DataFrame) -> DataFrame:
-    """``qid, rowid, rank``: for each question the neighbours, among the embedded chunks in scope, of its best lexical hit that has a vector.
-
-    The hit stands in for the question, whose embedding comes from outside.
-    """
-    hits = lists.join(vectors.select("rowid"), "rowid").groupBy("qid").agg(F.min_by("rowid", "rank").alias("rowid"))
-    asked = materialize(spark, hits.join(vectors, "rowid").select("qid", "workspace_id", F.col("v").alias("q")), "asked")
-    inside = materialize(spark, vectors.join(scope.filter("embed").select("rowid"), "rowid", "left_semi"), "inside")
-    return exact_knn(spark, asked, inside, CANDIDATES).select("qid", "rowid", "rank")
-
-
-@query()
-def hybrid_retrieval(spark, d):
-    """Fused candidates of every question with identifier boost, quota and budget: the context in final order.
-
-    The second list of a question is that of ``dense_lists``.
-    """
-    lists = _lexical_lists(spark, d)
-    v = _clean_vectors(spark, d)
-    scope = scope_of(spark, d)
-    dense = dense_lists(spark, lists, v, scope)
-    fused = rrf(lists.withColumn("list_no", F.lit(0)).unionByName(dense.withColumn("list_no", F.lit(1))))
-    rows = fused.join(scope.select("rowid", "document_id", "precedence", "doc_kind", "doc_type", "item_number", "text", "char_count"), "rowid")
-    from ..functions.text import IDENTIFIER
-
-    ids = questions_of(spark, d).select("qid", F.regexp_extract_all("question", F.lit(IDENTIFIER), 0).alias("ids"))
-    hay = F.concat(F.lit(" "), F.concat_ws(" ", "item_number", "text"), F.lit(" "))
-    rows = rows.join(ids, "qid", "left").withColumn("rrf", F.col("rrf") + F.when(F.exists(F.coalesce("ids", F.array().cast("array<string>")), lambda i: hay.contains(F.concat(F.lit(" "), i, F.lit(" ")))), 1.0 / (RRF_K + 1)).otherwise(0.0))
-    rows = rows.withColumn("pos", F.row_number().over(W.partitionBy("qid").orderBy(F.round("rrf", 9).desc(), "rowid")))
-    main = rows.filter("doc_type = 'edital' and doc_kind = 'edital_principal'").select("qid", "document_id").distinct()
-    chosen = select_quota(rows.select("qid", "rowid", "document_id", "pos"), main)
-    sized = chosen.join(scope.select("rowid", F.coalesce("char_count", F.length("text"), F.lit(0)).cast("long").alias("size"), "precedence"), "rowid")
-    kept = fit_budget(sized)
-    order = F.row_number().over(W.partitionBy("qid").orderBy(F.col("precedence").desc(), "pos"))
-    return kept.join(sized, ["qid", "rowid"]).select("qid", "rowid", order.alias("rank"))
-
-
-@query("""with v as (select rowid qid, unnest([rowid%7+1, rowid%5+1]) rank, unnest([1,2]) list_no, unnest([rowid*3, rowid*3+rowid%2]) item from (select distinct rowid from chunks))
- select qid, item as rowid, round(sum(1.0::double/(1+rank)),9) as rrf from v group by qid, item""")
-def rank_fusion(spark, d):
-    r = table(spark, d, "chunks").select("rowid").distinct()
-    one = r.select(F.col("rowid").alias("qid"), (F.col("rowid") * 3).alias("rowid"), (F.col("rowid") % 7 + 1).alias("rank"), F.lit(1).alias("list_no"))
-    two = r.select(F.col("rowid").alias("qid"), (F.col("rowid") * 3 + F.col("rowid") % 2).alias("rowid"), (F.col("rowid") % 5 + 1).alias("rank"), F.lit(2).alias("list_no"))
-    return rrf(one.unionByName(two)).select("qid", "rowid", F.round("rrf", 9).alias("rrf"))
-
-
-@query("""with recursive c as (select document_id qid, rowid, row_number() over (partition by document_id order by order_index, rowid) pos, length(coalesce(text,''))::bigint size from
-   (select distinct on (rowid) * from chunks)), w as (select qid, 0::bigint pos, 0::bigint used, null::bigint rowid, false kept from c group by qid
-   union all select c.qid, c.pos, case when w.used+c.size<=5000 then w.used+c.size else w.used end, c.rowid, w.used+c.size<=5000 from w join c on c.qid=w.qid and c.pos=w.pos+1)
- select qid as document_id, rowid from w where kept""")
-def budget_fit(spark, d):
-    """Chunks of each document that fit 5,000 characters in order, skipping those that overflow."""
-    c = chunks_of(spark, d).join(table(spark, d, "chunks").select("rowid", "order_index").dropDuplicates(["rowid"]), "rowid")
-    c = c.withColumn("pos", F.row_number().over(W.partitionBy("document_id").orderBy("order_index", "rowid")))
-    s = c.select(F.col("document_id").alias("qid"), "rowid", "pos", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("size"))
-    return fit_budget(s, 5000).select(F.col("qid").alias("document_id"), "rowid")
-
-
-@query("""with c as (select distinct on (rowid) * from chunks), p as (select l.document_id, l.chunk_set_id, l.parent_label, count(*) leaves, sum(1.0::double/(1+l.rowid%30)) score from c l where parent_label is not null group by 1,2,3)
- select c.rowid as parent, p.leaves, round(greatest(1.0/(1+c.rowid%30), p.score),9) as rrf from p join c on c.document_id=p.document_id and c.chunk_set_id=p.chunk_set_id and c.label=p.parent_label
- where p.leaves>=2 and coalesce(c.char_count, length(c.text))<=4800""")
-def parent_expansion(spark, d):
-    """Parents that replace two or more of their leaves: at most three times the chunk limit, score the leaves' sum."""
-    c = chunks_of(spark, d).withColumn("s", 1.0 / (1 + F.col("rowid") % 30))
-    p = c.filter("parent_label is not null").groupBy("document_id", "chunk_set_id", F.col("parent_label").alias("label")).agg(F.count("*").alias("leaves"), F.sum("s").alias("score")).filter("leaves >= 2")
-    j = c.join(p, ["document_id", "chunk_set_id", "label"]).filter(F.coalesce("char_count", F.length("text")) <= 3 * MAX_CHARS)
-    return j.select(F.col("rowid").alias("parent"), "leaves", F.round(F.greatest("s", "score"), 9).alias("rrf"))
-
-
 _TOK = "list_distinct(list_filter(regexp_split_to_array(regexp_replace(strip_accents(lower(title)), '\\p{M}', '', 'g'), '[^\\p{L}\\p{N}]+'), lambda t: length(t)>=3 and t not in (" + ",".join(f"'{w}'" for w in TITLE_STOP_WORDS) + ")))"
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lavra.functions.text import abstains, canonical_value, extract_values, index_tokens, number_variants, query_phrases
 from lavra.operators import answers, csv_rejects, ingest, packed_values
-from lavra.plans import retrieval
+from lavra.plans import pipeline, retrieval
 from lavra.sources import files
 
 
@@ -85,7 +85,7 @@ def test_bm25_against_brute_force(spark):
 
 def test_budget_skips_and_goes_on(spark):
     df = spark.createDataFrame([(1, 10, 1, 334), (1, 11, 2, 421), (1, 12, 3, 312)], "qid long, rowid long, pos int, size long")
-    assert [r["rowid"] for r in retrieval.fit_budget(df, 700).orderBy("place").collect()] == [10, 12]
+    assert [r["rowid"] for r in pipeline.fit_budget(df, 700).orderBy("place").collect()] == [10, 12]
 
 
 def raw(spark, rows):

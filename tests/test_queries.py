@@ -10,7 +10,7 @@ import pytest
 
 from lavra.plans import registry
 
-DATA = "/root/testdata/sf0.001"
+DATA = os.environ.get("LAVRA_TESTDATA", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="session")

@@ -10,7 +10,7 @@ import pytest
 
 from lavra.functions.text import FEEDBACK_STOP_WORDS
 from lavra.operators import answers
-from lavra.plans import retrieval, texts
+from lavra.plans import pipeline, retrieval, texts
 
 DATA = "/root/testdata/sf0.01"
 #: rowid, document_id, text: Latin with U+2019, other scripts alone and mixed, marks, a repeated row, blank and null.
@@ -107,10 +107,10 @@ def test_grounding_context_of_every_question(spark):
 def test_dense_list_is_cut_to_the_scope_before_the_search(spark):
     # question 1: its best hit has no vector; 40 nearer vectors are out of scope, one of a chunk that is not embedded
     vectors = [(10, "w", [0.0, 1.0])] + [(100 + i, "w", [0.0, 1.0 + i / 1000]) for i in range(40)] + [(200 + i, "w", [1.0, 1.0 + i]) for i in range(35)] + [(300, "w", [0.0, 1.0])]
-    vectors = spark.createDataFrame(vectors, "rowid bigint, workspace_id string, v array<float>")
+    vectors = spark.createDataFrame([(r, w, "m", v) for r, w, v in vectors], "rowid bigint, workspace_id string, model_id string, v array<float>")
     scope = spark.createDataFrame([(10, True), (9, True), (300, False)] + [(200 + i, True) for i in range(35)], "rowid bigint, embed boolean")
     lists = spark.createDataFrame([(1, 9, 1), (1, 10, 2), (2, 9, 1)], "qid bigint, rowid bigint, rank int")
-    got = sorted((r["rank"], r["qid"], r["rowid"]) for r in retrieval.dense_lists(spark, lists, vectors, scope).collect())
+    got = sorted((r["rank"], r["qid"], r["rowid"]) for r in pipeline.dense_lists(spark, lists, vectors, scope).collect())
     assert got == [(1, 1, 10)] + [(i + 2, 1, 200 + i) for i in range(29)]
 
 
