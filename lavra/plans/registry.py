@@ -15,6 +15,7 @@ MODULES = [
     "lavra.plans.structure",
     "lavra.plans.dialogue",
     "lavra.plans.upkeep",
+    "lavra.plans.scores",
     "lavra.operators.answers",
     "lavra.operators.ingest",
     "lavra.streaming.jobs",

@@ -161,11 +161,58 @@ def test_labels_and_blocks():
 
 
 def test_gate(spark):
-    a = spark.createDataFrame([(1, "O prazo é de 30 dias [c_ab12cd].\n\nO valor é de R$ 50,00 [c_ab12cd]."), (2, "Não consta nos documentos."), (3, None), (4, "O prazo final é de 45 dias.")], "aid long, text string")
-    c = spark.createDataFrame([(1, "c_ab12cd", "prazo de 30 dias"), (1, "c_ab12cd", "prazo de 30 dias"), (1, "c_ffffff", "R$ 50,00")], "aid long, label string, text string")
+    a = spark.createDataFrame([
+        (1, "O prazo é de 30 dias [c_ab12cd].\n\nO valor é de R$ 50,00 [c_ab12cd]."), (2, "Não consta nos documentos."), (3, None), (4, "O prazo final é de 45 dias."),
+        (5, "Qual dos editais interessa?"), (6, "Os pesos são [c_ab12cd]:\n- prazo de 30 dias\n- total de 12 meses"), (7, "| prazo | 30 dias |\n\n[c_ab12cd] (item 9.5)"), (8, "Conforme o item 9, são 30 dias [c_ab12cd]."),
+        (9, "São 12 meses de execução.\n\n[c_zz99zz]"),
+    ], "aid long, text string")
+    c = [(i, "c_ab12cd", "prazo de 30 dias", "9.1", 0) for i in range(1, 9)] + [(1, "c_ab12cd", "outro", "1", 1), (1, "c_ffffff", "R$ 50,00", None, 2)]
+    c = spark.createDataFrame(c, "aid long, label string, text string, item_number string, pos int")
     g = answers.grade(a, c)
-    assert {(r["aid"], r["block"]): r["issue"] for r in g.collect()} == {(1, 0): None, (1, 1): "misplaced", (2, 0): None, (4, 0): "uncited"}
-    assert {r["aid"]: (r["status"], r["grounded"]) for r in answers.gate(g).collect()} == {1: ("partial", False), 2: ("not_found", True), 4: ("unsupported", False)}
+    got = {(r["aid"], r["block"]): (r["issue"], r["misplaced"]) for r in g.collect()}
+    assert got[1, 0] == (None, []) and got[1, 1] == ("unsupported", ["R$50"]) and got[4, 0][0] == "uncited"
+    assert got[6, 1][0] is None and got[6, 2][0] == "unsupported" and got[7, 0][0] is None and got[7, 1][0] is None and got[8, 0][0] is None
+    strict = {r["aid"]: (r["status"], r["removed"], r["text"]) for r in answers.gate(g).collect()}
+    assert strict[1] == ("partial", 1, "O prazo é de 30 dias [c_ab12cd].") and strict[2][0] == "not_found" and strict[4][0] == "unsupported" and strict[5][0] == "clarification"
+    assert strict[6][0] == "partial" and strict[6][2].endswith("- prazo de 30 dias") and strict[7][:2] == ("answered", 0) and 3 not in strict
+    warn = {r["aid"]: (r["status"], r["removed"], r["grounded"]) for r in answers.gate(g, "warn").collect()}
+    assert warn[1] == ("answered", 0, False) and warn[8] == ("answered", 0, True)
+    notes = {r["aid"]: r["notes"] for r in answers.repair_notes(g).collect()}
+    assert notes[4] == "uncited: O prazo final é de 45 dias." and notes[1].startswith("not in the cited texts: R$50 in")
+
+
+def test_citations_and_quotes(spark):
+    a = spark.createDataFrame([(1, "O prazo é de 30 dias (c_ab12cd, c_000000). O valor do apoio é outro[c_ffffff] e [c_ab12cd]"), (2, None)], "aid long, text string")
+    c = spark.createDataFrame([(1, "c_ab12cd", "Regras gerais do art. quinto. O prazo máximo é de 30 dias. Fim da regra."), (1, "c_ffffff", "O valor do apoio é fixo.")], "aid long, label string, text string")
+    r = answers.cite(a, c).collect()
+    assert len(r) == 1 and r[0]["text"] == "O prazo é de 30 dias [c_ab12cd]. O valor do apoio é outro [c_ffffff] e [c_ab12cd]" and r[0]["invalid"] == ["c_000000"]
+    assert r[0]["display"] == "O prazo é de 30 dias [1]. O valor do apoio é outro [2] e [1]"
+    assert [(x["ordinal"], x["label"], x["quote"]) for x in r[0]["citations"]] == [(1, "c_ab12cd", "O prazo máximo é de 30 dias."), (2, "c_ffffff", "O valor do apoio é fixo.")]
+
+
+@pytest.mark.parametrize("text, value, want", [
+    ("são 3 meses", "3", True), ("são 300.000", "3", False), ("R$ 1.500,00 no total", "R$ 1.500", True), ("15,0%", "5,0%", False), ("5% do total", "5,0%", True), ("as empresas brasileiras", "empresa brasileira", True),
+    ("o edital", "editais", True), ("12 (doze) meses", "12 meses", True), ("7 de abril de 2026", "07/04/2026", True), ("nada", "algo", False), (None, "x", False),
+])
+def test_contains_value(spark, text, value, want):
+    from lavra.functions.text import contains_value
+
+    assert one(spark, contains_value(F.col("t"), F.col("v")), t=text, v=value) is want
+
+
+def test_scores(spark):
+    q = spark.createDataFrame([(1, "w", "t", "?", "8.1", None, ["30 dias"], True), (2, "w", "t", "?", None, None, [], False), (3, "w", None, "?", "8", "Edital X", [], True)],
+                              "qid long, workspace_id string, topic string, question string, item string, document string, values array<string>, answerable boolean")
+    rows = [(10, 1, "a", "answered", "São 30 dias."), (11, 2, "a", "not_found", "Não consta nos documentos."), (12, 3, "a", "error", ""), (13, 1, "b", "clarification", "30 dias?"), (14, 3, "b", "answered", "Há regra.")]
+    a = spark.createDataFrame([(*r, None, 100, 0, 0, True, 0, 0, 0, 0) for r in rows], "aid long, qid long, arm string, status string, text string, raw string, latency_ms int, overhead int, repaired int, grounded boolean, removed int, unsupported int, misplaced int, invalid int").withColumn("mode", F.lit("rag"))
+    c = spark.createDataFrame([(10, "c", "8.1.2", "", "x", "t"), (14, "c", None, "1. A › 8. B", "x", "O edital x de 2030")], "aid long, label string, item_number string, section_path string, text string, title string")
+    from lavra.plans import scores
+
+    s = scores.score(q, a, c)
+    got = {r["aid"]: (r["correct"], r["abstained"], r["retrieval_hit"], r["cited_expected"], r["values_found"]) for r in s.collect()}
+    assert got == {10: (True, False, True, True, 1), 11: (True, True, None, None, 0), 12: (False, False, False, False, 0), 13: (False, False, False, False, 1), 14: (True, False, True, True, 0)}
+    m = {r["arm"]: r for r in s.groupBy("arm").agg(*scores.measures()).collect()}
+    assert m["a"]["accuracy"] == pytest.approx(2 / 3) and m["a"]["errors"] == 1 and m["a"]["abstention_accuracy"] == 1.0 and m["b"]["abstention_accuracy"] is None and m["a"]["mean_latency"] == 100.0
 
 
 def test_windows():
