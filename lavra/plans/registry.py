@@ -18,6 +18,7 @@ MODULES = [
     "lavra.plans.scores",
     "lavra.operators.answers",
     "lavra.operators.ingest",
+    "lavra.operators.chunker",
     "lavra.streaming.jobs",
 ]
 

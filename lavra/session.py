@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -34,16 +36,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, name: str = "tmp") -> str:
     """A fresh path in the folder all executors share.
 
-    The cluster names that folder in ``spark.checkpoint.dir``. Only where it is
-    unset (tests on one machine) a temporary folder is made.
+    The cluster names that folder in ``spark.checkpoint.dir``. Where it is unset a
+    local session (tests on one machine) gets a temporary folder, another an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = getattr(spark, "_lavra_dir", None)
         if not base:
-            base = tempfile.mkdtemp(prefix="lavra-")
-            spark._lavra_dir = base
-    return f"{base.rstrip('/')}/lavra-{name}-{uuid.uuid4().hex}"
+            base = spark._lavra_dir = tempfile.mkdtemp(prefix="lavra-")
+            atexit.register(shutil.rmtree, base, ignore_errors=True)
+    path = f"{base.rstrip('/')}/lavra-{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
+#: Folders this process has made in the shared folder.
+_WRITTEN: list[str] = []
+
+
+def drop_written(spark: SparkSession) -> int:
+    """Deletes what this process has written to the shared folder, once the results that read it are done; how many folders went."""
+    n = 0
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        n += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return n
 
 
 def materialize(spark: SparkSession, df: DataFrame, name: str = "table") -> DataFrame:

@@ -216,10 +216,10 @@ def test_scores(spark):
 
 
 def test_windows():
-    text = "Uma frase curta. " * 400
+    text = ("Uma frase curta. " * 400).strip()
     spans = ingest.windows(text)
     assert all(b - a <= 1600 for a, b in spans) and all(0 <= b - c <= 150 for (_, b), (c, _) in zip(spans, spans[1:])) and spans[-1][1] == len(text)
-    assert ingest.windows("") == [] and ingest.acronyms("Núcleo de Inovação Tecnológica (NIT) e outro (XYZ)") == [("Núcleo de Inovação Tecnológica", "NIT")]
+    assert ingest.windows("") == [] and ingest.windows("  ") == [] and ingest.acronyms("Núcleo de Inovação Tecnológica (NIT) e outro (XYZ)") == [("Núcleo de Inovação Tecnológica", "NIT")]
 
 
 def test_gold_csv(spark, tmp_path):
