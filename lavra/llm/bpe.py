@@ -21,7 +21,7 @@ import regex
 #: Fixed value: the pretokeniser pattern of the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 DEFAULT_DIR = os.environ.get("LAVRA_TOKENIZERS", "/opt/tokenizers")
-SHIFT = 24  # positions within one pretoken, so a pretoken may have 16 MB
+SHIFT = 40  # positions within one pretoken: a tera of bytes, and ranks of 22 bits above
 INF = np.int64(1) << 62
 BLOCK_CELLS = 1 << 19
 CACHE_UNITS = 300_000

@@ -67,12 +67,12 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents, ids and distinct ids by language as stored."""
-    docs = table(spark, sf_dir, "documents")
-    ids = p8_ids(spark, sf_dir)
-    return (
-        docs.select("doc_id", "lang").join(ids.select("doc_id", F.size("ids").alias("n")), "doc_id")
-        .groupBy("lang").agg(F.count("*").alias("documents"), F.sum("n").alias("tokens"))
-    )
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    ids = p8_ids(spark, sf_dir).join(docs.select("doc_id", "lang"), "doc_id")
+    n = ids.groupBy("lang").agg(F.count("*").alias("documents"), F.sum(F.size("ids")).alias("tokens"))
+    # distinct ids of a document first, so that few rows travel
+    some = ids.select("lang", F.explode(F.array_distinct("ids")).alias("i")).groupBy("lang", "i").agg(F.lit(1).alias("one")).groupBy("lang").agg(F.count("*").alias("distinct_ids"))
+    return n.join(some, n["lang"].eqNullSafe(some["lang"]), "left").select(n["lang"], "documents", "tokens", F.coalesce("distinct_ids", F.lit(0)).alias("distinct_ids"))
 
 
 QUERIES = {"p8_ids": p8_ids, "p8_counts": p8_counts}
