@@ -13,6 +13,10 @@ from lavra.plans import registry
 DATA = os.environ.get("LAVRA_TESTDATA", "/root/testdata/sf0.001")
 
 
+#: Queries without SQL that the smallest data may leave without rows.
+MAY_BE_EMPTY = {"document_glossary", "glossary_variants", "answer_citations", "repair_instructions", "named_documents"}
+
+
 @pytest.fixture(scope="session")
 def duck():
     c = duckdb.connect()
@@ -42,6 +46,7 @@ def test_query(spark, duck, name):
     cols = sorted(df.columns)
     rows = sorted(repr([plain(r[c]) for c in cols]) for r in df.collect())
     sql = registry.oracle().get(name)
+    assert len(set(df.columns)) == len(cols) and (sql or rows or name in MAY_BE_EMPTY)
     if sql:
         want = duck.sql(sql)
         assert sorted(want.columns) == cols
