@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from ..functions.text import abstains, contains_value, fold, item_covers
 from ..operators.answers import cite, gate, grade, stored_answers
+from ..operators.scans import by_rows, running_sum
 from ..session import materialize, table
 from .catalog import workspace_keys
 from .dialogue import last_messages
@@ -96,17 +96,14 @@ def measures() -> list[Column]:
 def scored(spark: SparkSession, d: str) -> DataFrame:
     """The stored answers scored against the gold questions of their workspace.
 
-    No run links an answer to a gold question here, so the answers of a workspace take its questions in turn, both in the order of their ids.
+    No run links an answer to a gold question here, so each answer takes the one of its workspace's questions that the hash of its id points to.
     """
     q = gold_questions(spark, d)
-    turn = lambda df, key: df.withColumn("turn", F.row_number().over(W.partitionBy("workspace_id", "salt").orderBy(key)))
-    salted = lambda df, key: df.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(16)))
-    asked = turn(salted(q, "qid"), "qid")
-    most = asked.groupBy("workspace_id", "salt").agg(F.max("turn").alias("most"))
+    asked = running_sum(q.select("workspace_id", "qid"), ["workspace_id"], ["qid"], F.lit(1), by_rows("qid"), "turn")
+    many = q.groupBy("workspace_id").agg(F.count("*").alias("many"))
     texts = last_messages(spark, d).select("id", F.col("content").alias("text"))
-    c = cases(spark, d).select("id", "workspace_id", "model", "status", "latency_ms", "repaired").join(texts, "id")
-    c = turn(salted(c, "id"), "id").join(most, ["workspace_id", "salt"]).withColumn("turn", F.pmod(F.col("turn") - 1, "most") + 1)
-    a = c.join(asked.select("workspace_id", "salt", "turn", "qid"), ["workspace_id", "salt", "turn"])
+    c = cases(spark, d).select("id", "workspace_id", "model", "status", "latency_ms", "repaired").join(texts, "id").join(many, "workspace_id")
+    a = c.withColumn("turn", F.pmod(F.xxhash64("id"), "many")).join(asked, ["workspace_id", "turn"])
     answers, context = stored_answers(spark, d)
     g = gate(grade(answers, context), "warn").select("aid", "grounded", "removed", F.size("unsupported").alias("unsupported"), F.size("misplaced").alias("misplaced"))
     cited = cite(answers, context)
