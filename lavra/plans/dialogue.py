@@ -270,3 +270,30 @@ def replicated_questions(spark, d):
     w = table(spark, d, "workspaces").agg(F.min("id").alias("ws"))  # one row
     q = table(spark, d, "nucleo").filter("id is not null").select("row_id", "id", "workspace", "question").distinct().join(F.broadcast(w))
     return q.filter("workspace <> ws or workspace is null").select("row_id", F.concat("id", F.lit("-"), "ws").alias("id"), F.col("ws").alias("workspace"), "question")
+
+
+@query("""select document_id, workspace_id, coalesce(status='ready' and doc_type in ('edital','apoio'), false) as selectable, coalesce(status='ready' and doc_type='edital', false) as always_in from documents""")
+def selectable_documents(spark, d):
+    """Documents a reader may choose from: ready ones; principal texts are always in, supporting ones where they or none are chosen."""
+    ready = F.col("status") == "ready"
+    return table(spark, d, "documents").select("document_id", "workspace_id", F.coalesce(ready & F.col("doc_type").isin("edital", "apoio"), F.lit(False)).alias("selectable"), F.coalesce(ready & (F.col("doc_type") == "edital"), F.lit(False)).alias("always_in"))
+
+
+@query(f"""with {_CASES}, p as (select id, arg_max(mode, received_at) mode, arg_max(provider, received_at) provider from messages where id is not null group by id)
+ select coalesce(c.model,'(none)') as arm, coalesce(p.mode,'(none)') as mode, coalesce(p.provider,'(none)') as provider, count(*) as cases, count(distinct c.workspace_id) as workspaces from c join p using (id) group by 1,2,3""")
+def answer_arms(spark, d):
+    """The arms of the stored answers: model, mode and provider, with their cases and workspaces."""
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("received_at"))).alias(c)
+    p = table(spark, d, "messages").filter("id is not null").groupBy("id").agg(last("mode"), last("provider"))
+    named = lambda c: F.coalesce(c, F.lit("(none)"))
+    return cases(spark, d).select("id", "model", "workspace_id").join(p, "id").groupBy(named("model").alias("arm"), named("mode").alias("mode"), named("provider").alias("provider")).agg(F.count("*").alias("cases"), F.countDistinct("workspace_id").alias("workspaces"))
+
+
+@query(f"""with {_CASES} select coalesce(model,'(none)') as arm, count(*) as n, round(avg(case when not error and status is not null then (status in ('answered','partial'))::int end),6) as answered, round(avg(case when status is null then null when status='partial' then 1 else 0 end),6) as cut,
+ round(avg(case when error then null else (status in ('not_found','unsupported'))::int end),6) as declined from c group by 1""")
+def published_rates(spark, d):
+    """Shares by arm as they are shown: errors left out, answers without a status not counted."""
+    c, ok = cases(spark, d), ~F.col("error")
+    rate = lambda of, what, name: F.round(F.avg(F.when(of, what.cast("double"))), 6).alias(name)
+    known = F.col("status").isNotNull()
+    return c.groupBy(F.coalesce("model", F.lit("(none)")).alias("arm")).agg(F.count("*").alias("n"), rate(ok & known, F.col("status").isin("answered", "partial"), "answered"), rate(known, F.col("status") == "partial", "cut"), rate(ok & known, F.col("status").isin("not_found", "unsupported"), "declined"))
