@@ -227,7 +227,7 @@ def retrieve(spark: SparkSession, d: str, config: Config | None = None, variants
     lists = materialize(spark, lists, "lists")
     rank_of = lambda k: F.min(F.when(F.col("kind") == k, F.col("rank"))).alias(f"{k}_rank")
     fused = rrf(lists, config.rrf_k).join(lists.groupBy("qid", "rowid").agg(rank_of("bm25"), rank_of("dense")), ["qid", "rowid"])
-    full = scope.join(table(spark, d, "chunks").select("rowid", "heading", "section_path").dropDuplicates(["rowid"]), "rowid")
+    full = scope.join(table(spark, d, "chunks").select("rowid", "heading", "section_path", "text").distinct().dropDuplicates(["rowid"]), "rowid")
     info = full.select("rowid", "document_id", "chunk_set_id", "label", "parent_label", "kind", "heading", "section_path", "item_number", "char_count", F.length(F.coalesce("text", F.lit(""))).alias("chars"), "precedence",
                        ((F.col("doc_type") == "edital") & (F.col("doc_kind") == "edital_principal")).alias("principal"), F.concat_ws(" ", F.coalesce("item_number", F.lit("")), "text").alias("hay"), F.col("workspace_id").alias("ws"))
     ids = questions.select("qid", F.transform(F.array_distinct(F.regexp_extract_all("question", F.lit(IDENTIFIER), 0)), identifier_pattern).alias("patterns"))

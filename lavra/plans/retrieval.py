@@ -28,6 +28,8 @@ BLOCK_ROWS = 20_000
 #: Queries that meet a block at once, and spare candidates whose distance is taken exactly.
 ROWS_AT_ONCE, SPARE = 256, 8
 CANDIDATES, RRF_K, TOP_K = 30, 1, 12
+#: Texts and questions of a workspace that make one cell of the lexical search.
+BLOCK_OF_TEXTS, BLOCK_OF_QUESTIONS = 2048, 8192
 
 
 def query(sql: str = ""):
@@ -57,34 +59,73 @@ def bm25(spark: SparkSession, questions: DataFrame, chunks: DataFrame, scope: Da
     several tokens counts where they follow one another. Terms in more than
     half of the rows score almost nothing. Questions without words, and empty
     scopes, have no rows. Ties go to the smaller rowid.
+
+    A question and its scope share common words with nearly every row, so scores are
+    not joined pair by pair: the weights of a block of rows are a matrix, against which
+    all questions of the workspace are summed; each block gives k rows a question.
     """
-    phrases = questions.select("qid", "workspace_id", F.explode(query_phrases(F.col("question"))).alias("phrase"))
+    asked = questions.select("qid", "workspace_id", "question", F.xxhash64("workspace_id", "question").alias("qn"))
+    once = asked.select("qn", "workspace_id", "question").dropDuplicates(["qn"])
+    phrases = once.select("qn", "workspace_id", F.explode(query_phrases(F.col("question"))).alias("phrase"))
     # what the questions ask for is written once: its size is known, so it is broadcast where it is small, and only its postings are kept
-    wanted = phrases.select("phrase").distinct().select(F.array_join("phrase", " ").alias("key"), F.size("phrase").alias("size"), F.posexplode("phrase").alias("i", "term"))
+    wanted = phrases.select("phrase").distinct().select(F.xxhash64(F.array_join("phrase", " ")).alias("key"), F.size("phrase").alias("size"), F.posexplode("phrase").alias("i", "term"))
     wanted = materialize(spark, wanted, "wanted")
-    t = chunks.select("rowid", index_tokens(F.col("text")).alias("t"), index_tokens(F.col("context_prefix")).alias("p"))
-    length = t.select("rowid", (F.size("t") + F.size("p")).alias("len"))
-    stats = length.agg(F.count("*").alias("n_rows"), F.avg("len").alias("avg_len"))  # one row
-    field = lambda c, w: t.select("rowid", F.lit(w).alias("weight"), F.posexplode(c).alias("pos", "term"))
-    hits = field("t", WEIGHT_TEXT).unionByName(field("p", WEIGHT_PREFIX)).join(wanted, "term")
-    # a word counts where it stands; the tokens of a longer phrase must agree on where it begins
-    words_ = hits.filter("size = 1").select("key", "rowid", "weight")
-    longer = hits.filter("size > 1").groupBy("key", "size", "rowid", "weight", (F.col("pos") - F.col("i")).alias("at")).agg(F.count("*").alias("c")).filter("c = size").select("key", "rowid", "weight")
-    tf = materialize(spark, words_.unionByName(longer).groupBy("key", "rowid").agg(F.sum("weight").alias("tf")), "tf")
+    # all that follows of a row stays where its rowid is; a sentinel counts the rows
+    t = chunks.select("rowid", "text", "context_prefix").repartition("rowid").distinct().dropDuplicates(["rowid"]).select("rowid", index_tokens(F.col("text")).alias("t"), index_tokens(F.col("context_prefix")).alias("p"))
+    t = t.withColumn("len", F.size("t") + F.size("p"))
+    both = F.concat(F.transform("t", lambda x, i: F.struct(F.lit(WEIGHT_TEXT).alias("weight"), i.alias("pos"), x.alias("term"))), F.transform("p", lambda x, i: F.struct(F.lit(WEIGHT_PREFIX).alias("weight"), i.alias("pos"), x.alias("term"))))
+    hits = t.select("rowid", "len", F.explode(both).alias("x")).select("rowid", "len", "x.*").join(wanted, "term")
+    # the tokens of a phrase must agree on where it begins
+    whole = hits.groupBy("rowid", "len", "key", "size", "weight", (F.col("pos") - F.col("i")).alias("at")).agg(F.count("*").alias("c")).filter("c = size")
+    tf = materialize(spark, whole.groupBy("rowid", "len", "key").agg(F.sum("weight").alias("tf")), "tf")
+    stats = t.agg(F.count("*").alias("n_rows"), F.avg("len").alias("avg_len"))  # one row
     df = tf.groupBy("key").agg(F.count("*").alias("df"))
     raw = F.log((F.col("n_rows") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    idf = df.join(F.broadcast(stats)).select("key", "avg_len", F.when(raw <= 0, 1e-6).otherwise(raw).alias("idf"))
-    weight = tf.join(idf, "key").join(length, "rowid").select("key", "rowid", (F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))).alias("w"))
-    inside = scope.select("workspace_id", "rowid")
-    scored = phrases.select("qid", "workspace_id", F.array_join("phrase", " ").alias("key")).distinct().join(weight.join(inside, "rowid"), ["key", "workspace_id"])
-    total = scored.groupBy("qid", "rowid").agg(F.sum("w").alias("score"))
-    rank = F.row_number().over(W.partitionBy("qid").orderBy(F.round("score", 9).desc(), "rowid"))
-    return total.withColumn("rank", rank).filter(F.col("rank") <= k)
+    idf = materialize(spark, df.join(F.broadcast(stats)).select("key", "avg_len", F.when(raw <= 0, 1e-6).otherwise(raw).alias("idf")), "idf")
+    w = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
+    inside = scope.select("workspace_id", "rowid").distinct()
+    rows, many = inside.groupBy("workspace_id").agg(F.ceil(F.count("*") / BLOCK_OF_TEXTS).alias("blocks")), once.groupBy("workspace_id").agg(F.ceil(F.count("*") / BLOCK_OF_QUESTIONS).alias("asking"))
+    sizes = materialize(spark, rows.join(many, "workspace_id"), "cells")  # a row a workspace
+    block = lambda c, n: F.pmod(F.xxhash64(c), n)
+    weights = tf.join(idf, "key").select("rowid", "key", w.alias("w")).join(inside, "rowid").join(sizes, "workspace_id")
+    weights = weights.select("workspace_id", block("rowid", F.col("blocks")).alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("asking") - 1)).alias("a"), "rowid", "key", "w")
+    keys = phrases.groupBy("qn", "workspace_id").agg(F.collect_set(F.xxhash64(F.array_join("phrase", " "))).alias("keys")).join(sizes, "workspace_id")
+    keys = keys.select("workspace_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("b"), block("qn", F.col("asking")).alias("a"), "qn", "keys")
+
+    def best(_, x: pa.Table, y: pa.Table) -> pa.Table:
+        out = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))]
+        if len(x) and len(y):
+            lists = y.column("keys").combine_chunks()
+            flat, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            terms, flat = np.unique(flat, return_inverse=True)
+            ids, col = np.unique(x.column("rowid").to_numpy(), return_inverse=True)
+            key = x.column("key").to_numpy()
+            at = np.minimum(np.searchsorted(terms, key), len(terms) - 1)
+            ok = terms[at] == key
+            matrix = np.zeros((len(terms), len(ids)))
+            matrix[at[ok], col[ok]] = x.column("w").to_numpy()[ok]
+            for i, qn in enumerate(y.column("qn").to_numpy()):
+                score = matrix[flat[ends[i] : ends[i + 1]]].sum(axis=0)
+                rounded = np.round(score, 9)
+                least = np.partition(rounded, -k)[-k] if len(ids) > k else -1.0
+                some = np.flatnonzero((score > 0) & (rounded >= least))
+                some = some[np.lexsort((ids[some], -rounded[some]))[:k]]
+                out.append((np.full(len(some), qn), ids[some], score[some]))
+        cols = [np.concatenate(c) for c in zip(*out)]
+        return pa.table({"qn": cols[0], "rowid": cols[1], "score": cols[2]})
+
+    cell = ["workspace_id", "b", "a"]
+    found = keys.groupBy(*cell).cogroup(weights.groupBy(*cell)).applyInArrow(lambda c, y, x: best(c, x, y), "qn bigint, rowid bigint, score double")
+    rank = F.row_number().over(W.partitionBy("qn").orderBy(F.round("score", 9).desc(), "rowid"))
+    top = found.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return asked.select("qid", "qn").join(top, "qn").select("qid", "rowid", "score", "rank")
 
 
 def scope_of(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of retrievable documents, without their texts, with what is asked of the document."""
     docs = retrievable(table(spark, d, "documents")).select("document_id", "workspace_id", "precedence", "doc_type", "doc_kind")
-    return chunks_of(spark, d).drop("workspace_id").join(docs, "document_id")
+    c = table(spark, d, "chunks").select("rowid", "document_id", "chunk_set_id", "label", "parent_label", "kind", "item_number", "char_count", "embed").distinct()
+    return c.dropDuplicates(["rowid"]).join(docs, "document_id")
 
 
 _TOKENS = "list_filter(regexp_split_to_array(regexp_replace(strip_accents(lower({0})), '\\p{{M}}', '', 'g'), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w<>'')"
