@@ -226,25 +226,39 @@ def retrieve(spark: SparkSession, d: str, config: Config | None = None, variants
         lists = search_lists(spark, questions, chunks, scope, vectors, config, more if variants is None else variants.unionByName(more))
     lists = materialize(spark, lists, "lists")
     rank_of = lambda k: F.min(F.when(F.col("kind") == k, F.col("rank"))).alias(f"{k}_rank")
-    fused = rrf(lists, config.rrf_k).join(lists.groupBy("qid", "rowid").agg(rank_of("bm25"), rank_of("dense")), ["qid", "rowid"])
-    full = scope.join(table(spark, d, "chunks").select("rowid", "heading", "section_path", "text").distinct().dropDuplicates(["rowid"]), "rowid")
-    info = full.select("rowid", "document_id", "chunk_set_id", "label", "parent_label", "kind", "heading", "section_path", "item_number", "char_count", F.length(F.coalesce("text", F.lit(""))).alias("chars"), "precedence",
-                       ((F.col("doc_type") == "edital") & (F.col("doc_kind") == "edital_principal")).alias("principal"), F.concat_ws(" ", F.coalesce("item_number", F.lit("")), "text").alias("hay"), F.col("workspace_id").alias("ws"))
-    ids = questions.select("qid", F.transform(F.array_distinct(F.regexp_extract_all("question", F.lit(IDENTIFIER), 0)), identifier_pattern).alias("patterns"))
-    rows = fused.join(info, "rowid").join(ids, "qid")
-    rows = rows.withColumn("identifier", F.expr("exists(patterns, p -> rlike(hay, p))")).drop("patterns", "hay", "ws")
+    # written where the plan would grow: what follows reads it several times
+    fused = materialize(spark, rrf(lists, config.rrf_k).join(lists.groupBy("qid", "rowid").agg(rank_of("bm25"), rank_of("dense")), ["qid", "rowid"]), "fused")
+    texts = table(spark, d, "chunks").select("rowid", "heading", "section_path", "item_number", "text").distinct().dropDuplicates(["rowid"])
+    # headings and paths travel only where the section boost reads them
+    full = scope.join(texts.select("rowid", F.length(F.coalesce("text", F.lit(""))).alias("chars"), *[F.col(c) if config.section_boost else F.lit(None).cast("string").alias(c) for c in ("heading", "section_path")]), "rowid")
+    info = full.select("rowid", "document_id", "chunk_set_id", "label", "parent_label", "kind", "heading", "section_path", "item_number", "char_count", "chars", "precedence",
+                       ((F.col("doc_type") == "edital") & (F.col("doc_kind") == "edital_principal")).alias("principal"))
+    info = materialize(spark, info, "info")
+    rows = fused.join(info, "rowid")
+    if config.mode == "hybrid":
+        # only candidates of questions that name an identifier meet the texts
+        ids = questions.select("qid", F.transform(F.array_distinct(F.regexp_extract_all("question", F.lit(IDENTIFIER), 0)), identifier_pattern).alias("patterns")).filter(F.size("patterns") > 0)
+        hay = texts.select("rowid", F.concat_ws(" ", F.coalesce("item_number", F.lit("")), "text").alias("hay"))
+        named_in = fused.select("qid", "rowid").join(ids, "qid").join(hay, "rowid").filter(F.expr("exists(patterns, p -> rlike(hay, p))")).select("qid", "rowid", F.lit(True).alias("identifier"))
+        rows = rows.join(named_in, ["qid", "rowid"], "left").withColumn("identifier", F.coalesce("identifier", F.lit(False)))
+    else:
+        rows = rows.withColumn("identifier", F.lit(False))
+    rows = materialize(spark, rows, "candidates")
     main = table(spark, d, "documents").filter("status = 'ready' and is_current and doc_type = 'edital' and doc_kind = 'edital_principal'").groupBy("workspace_id").agg(F.count("*").cast("int").alias("mains"))
     per = questions.select("qid", "workspace_id").join(main, "workspace_id", "left").select("qid", F.coalesce("mains", F.lit(0)).alias("mains"))
-    named = named_documents(spark, d).groupBy("qid").agg(F.collect_set("document_id").alias("named"))  # the titles a question names
-    # parents up to four levels above a candidate
-    up = rows.select("qid", "document_id", "chunk_set_id", F.col("parent_label").alias("label")).filter("label is not null").distinct()
-    levels = None
+    named = materialize(spark, named_documents(spark, d).groupBy("qid").agg(F.collect_set("document_id").alias("named")), "named")  # the titles a question names
+    # what stands above a chunk, up to three levels, chunk by chunk; then for each question once
+    above = info.select("document_id", "chunk_set_id", "label", F.col("rowid").alias("up"), F.col("parent_label").alias("next"))
+    level = info.filter("parent_label is not null").select("rowid", "document_id", "chunk_set_id", F.col("parent_label").alias("label"))
+    pairs = None
     for _ in range(3):
-        found = up.join(info.drop("hay", "ws", "principal"), ["document_id", "chunk_set_id", "label"])
-        levels = found if levels is None else levels.unionByName(found)
-        up = found.select("qid", "document_id", "chunk_set_id", F.col("parent_label").alias("label")).filter("label is not null").distinct()
+        level = level.join(above, ["document_id", "chunk_set_id", "label"])
+        pairs = level.select("rowid", "up") if pairs is None else pairs.unionByName(level.select("rowid", "up"))
+        level = level.filter("next is not null").select("rowid", "document_id", "chunk_set_id", F.col("next").alias("label"))
+    pairs = materialize(spark, pairs, "above")
+    levels = fused.select("qid", "rowid").join(pairs, "rowid").select("qid", F.col("up").alias("rowid")).distinct().join(info.drop("principal"), "rowid")
     names = [c.split()[0] for c in _INFO.split(", ")]
-    parents = levels.groupBy("qid").agg(F.collect_set(F.struct("rowid", *names)).alias("parents"))
+    parents = materialize(spark, levels.groupBy("qid").agg(F.collect_set(F.struct("rowid", *names)).alias("parents")), "parents")
     grouped = rows.groupBy("qid").agg(F.collect_list(F.struct("rowid", "rrf", "bm25_rank", "dense_rank", "identifier", "principal", *names)).alias("rows"))
     if rerank is not None:
         scored = rerank.groupBy("qid").agg(F.map_from_entries(F.collect_list(F.struct("rowid", F.col("score").cast("double")))).alias("scores"))
