@@ -321,6 +321,71 @@ def test_other_scripts_without_spaces(model, text, n):
     assert len(sentences.sentences(text, model)) == n
 
 
+def test_gaps_without_a_mark_in_texts_with_marks():
+    """Lines of several sentences that end without a mark teach how often one is missing within lines; texts whose lines all end with one stay whole."""
+    rng = random.Random(5)
+    line = lambda: f"{rng.choice(['This', 'There', 'Every'])} {rng.choice(['plan', 'budget', 'call'])} {rng.choice(['needs', 'has', 'wants'])} {rng.choice(['one', 'some', 'no'])} {rng.choice(['report', 'answer', 'delay'])}"
+    careless = [f"{line()}. {line()}" + rng.choice(["", "."]) for _ in range(300)]
+    text = "Every call wants no answer. This budget has some delay There plan needs one report."
+    cut = lambda m: [text[a:b] for a, b in sentences.sentences(text, m)]
+    assert cut(sentences.train(careless)) == ["Every call wants no answer.", "This budget has some delay", "There plan needs one report."]
+    assert len(cut(sentences.train([t.rstrip(".") + "." for t in careless]))) == 2
+
+
+def test_scripts_without_spaces_divide_between_letters_as_their_lines_do():
+    """Neither blanks nor marks: each gap between two letters is scored."""
+    rng = random.Random(7)
+    line = lambda: rng.choice(["ປະເທດ", "ໂຄງການ", "ສະຖາບັນ"]) + rng.choice(["ຂຽນ", "ສົ່ງ", "ອ່ານ"]) + rng.choice(["ລາຍງານ", "ຈົດໝາຍ", "ບົດສະຫຼຸບ"])
+    m = sentences.train(["\n".join(line() for _ in range(30)) for _ in range(20)] + ["Uma frase. Outra frase."])
+    text = "ປະເທດຂຽນຈົດໝາຍໂຄງການສົ່ງລາຍງານສະຖາບັນອ່ານບົດສະຫຼຸບ"
+    assert [text[a:b] for a, b in sentences.sentences(text, m)] == ["ປະເທດຂຽນຈົດໝາຍ", "ໂຄງການສົ່ງລາຍງານ", "ສະຖາບັນອ່ານບົດສະຫຼຸບ"]
+
+
+def test_a_blank_between_lao_letters_is_scored():
+    """Where lines have blanks within sentences, counts decide, not the blank."""
+    rng = random.Random(8)
+    line = lambda: rng.choice(["ປະເທດ", "ໂຄງການ", "ສະຖາບັນ"]) + " " + rng.choice(["ຂຽນ", "ສົ່ງ", "ອ່ານ"]) + " " + rng.choice(["ໜັງສື", "ຈົດໝາຍ", "ບົດສະຫຼຸບ"])
+    m = sentences.train(["\n".join(line() for _ in range(30)) for _ in range(20)] + ["Uma frase. Outra frase."])
+    text = "ປະເທດ ຂຽນ ຈົດໝາຍ ໂຄງການ ສົ່ງ ໜັງສື"
+    assert [text[a:b] for a, b in sentences.sentences(text, m)] == ["ປະເທດ ຂຽນ ຈົດໝາຍ", "ໂຄງການ ສົ່ງ ໜັງສື"]
+
+
+def test_the_word_before_tells_what_follows():
+    """Same words and kind of gap: a pair that often stands without a boundary has lower odds than one that was not seen."""
+    rng = random.Random(9)
+    names = ["plan", "call", "fund"]
+    texts = [f"The {rng.choice(names)} of {rng.choice(names)} in new york grows. The {rng.choice(names)} of york in new {rng.choice(names)} ends." for _ in range(200)]
+    m = sentences.train(texts)
+    # "york" follows "new" and "of", "new" never follows "of"
+    assert m.odds("in new", "york", "~") - m.odds("of york", "york", "~") < 0
+
+
+def test_bigrams_of_executors_equal_those_of_one_process(spark, model):
+    got = sentences.fit(spark, table(spark, "/root/testdata/sf0.01", "chunks").select("text").distinct(), "text")
+    assert model.pairs.any() and np.allclose(got.pairs, model.pairs, atol=1e-3) and np.allclose(got.after, model.after, equal_nan=True, atol=1e-3)
+
+
+def test_all_texts_at_once_equal_one_by_one(model, spark):
+    texts = [r["text"] for r in table(spark, DATA, "chunks").select("text").collect()] + [None, "", " \n "]
+    assert sentences.sentences_of(texts, model) == [sentences.sentences(t, model) for t in texts]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 8), st.integers(0, 2), st.floats(-4, 4), st.booleans()), min_size=1, max_size=7), st.floats(-5, 0))
+def test_posteriors_equal_the_sum_over_all_divisions(steps, short):
+    gaps, at = [], 0
+    for length, blank, o, marked in steps:
+        gaps.append((at + length, at + length + blank, o, marked))
+        at += length + blank
+    total, with_cut = 0.0, np.zeros(len(gaps))
+    for cuts in itertools.product((0, 1), repeat=len(gaps)):
+        on = [i for i, c in enumerate(cuts) if c]
+        x = sum(gaps[i][2] for i in on) + sum(short for i, j in zip(on, on[1:]) if gaps[i][3] == gaps[j][3] and gaps[j][0] - gaps[i][1] < sentences.SHORT)
+        total += np.exp(x)
+        with_cut += np.exp(x) * np.array(cuts)
+    assert np.allclose(sentences.posteriors(gaps, short), with_cut / total)
+
+
 def test_fit_on_executors_equals_training_in_one_process(spark, model):
     df = table(spark, "/root/testdata/sf0.01", "chunks").select("text").distinct()
     got = sentences.fit(spark, df, "text")
