@@ -1,14 +1,15 @@
 """Retrieval in one pipeline: lists, feedback, fusion, boosts, routing, selection, expansion, budget, order.
 
 Lists, fusion and boosts are set-oriented over all questions. What one question has
-left (its candidates, at most a few hundred rows, and their parents) is decided in one
-row by plain rules.
+left (its candidates, at most a few hundred rows, and their parents) is decided by
+plain rules, in blocks of questions that share what is known of the chunks.
 """
 
 from __future__ import annotations
 
 from dataclasses import asdict, dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from pyspark.sql.window import Window as W
 from ..functions.text import FEEDBACK_STOP_WORDS, IDENTIFIER, among, fold, words
 from ..session import materialize, table
 from .kit import collector
-from .retrieval import _ASKED, _BM25, _FW, bm25, chunks_of, exact_knn, model_vectors, named_documents, questions_of, rrf, scope_of
+from .retrieval import _ASKED, _BM25, _FW, bm25, chunks_of, exact_knn, model_vectors, named_documents, questions_of, rrf, rrf_of, scope_of
 
 query, QUERIES, ORACLE = collector()
 
@@ -43,6 +44,8 @@ class Config:
 
 #: Candidates of the first round that make the sample of document frequencies.
 SAMPLE_OF_CANDIDATES = 200
+#: Questions of a workspace that meet their candidates at once.
+BLOCK_OF_ASKED = 512
 
 
 def identifier_pattern(i: Column) -> Column:
@@ -55,26 +58,63 @@ def identifier_pattern(i: Column) -> Column:
     )
 
 
-def feedback(lists: DataFrame, questions: DataFrame, chunks: DataFrame, docs: int = 5, terms: int = 8) -> DataFrame:
+def by_blocks(spark: SparkSession, questions: DataFrame) -> DataFrame:
+    """``qid, workspace_id, block``: blocks of neighbouring questions, which share most of their candidates, so that what is asked of a chunk travels once a block."""
+    home = questions.groupBy("qid").agg(F.min("workspace_id").alias("workspace_id"))
+    many = home.groupBy("workspace_id").agg(F.ceil(F.count("*") / BLOCK_OF_ASKED).alias("n"))  # a row a workspace
+    return materialize(spark, home.join(F.broadcast(many), "workspace_id").select("qid", "workspace_id", F.pmod(F.xxhash64("qid"), F.col("n")).alias("block")), "blocks")
+
+
+def feedback(spark: SparkSession, lists: DataFrame, questions: DataFrame, chunks: DataFrame, blocks: DataFrame, docs: int = 5, terms: int = 8) -> DataFrame:
     """``qid, term, place``: the terms that set the best candidates of a question apart from the others, its own words left out.
 
     ``lists`` has qid, list_no, rowid and rank. Each occurrence in the best ``docs`` of each list adds
     ln((n + 1) / (df + 1)), counted over the first 200 distinct candidates. Equal weights go by first appearance.
+
+    A block of questions (``by_blocks``) meets the words of its candidates, each chunk once; terms are counted there, not as rows.
     """
-    first = lists.groupBy("qid", "rowid").agg(F.min(F.struct("list_no", "rank")).alias("k"))
+    at = F.struct("list_no", "rank")
+    first = lists.groupBy("qid", "rowid").agg(F.min(at).alias("k"), F.min(F.when(F.col("rank") <= docs, at)).alias("t"))
     place = F.row_number().over(W.partitionBy("qid").orderBy("k"))
     sample = first.withColumn("p", place).filter(F.col("p") <= SAMPLE_OF_CANDIDATES)
-    top = lists.filter(F.col("rank") <= docs).groupBy("qid", "rowid").agg(F.min(F.struct("list_no", "rank")).alias("t"))
     tokens = lambda c: F.filter(words(fold(c), 4), lambda t: ~t.rlike(r"^\d+$") & ~among(t, FEEDBACK_STOP_WORDS))
-    t = sample.join(chunks.select("rowid", tokens(F.col("text")).alias("w")), "rowid")
-    n = sample.groupBy("qid").agg(F.count("*").alias("n"))
-    df = t.select("qid", "rowid", F.explode(F.array_distinct("w")).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("df"))
-    own = questions.select("qid", tokens(F.col("question")).alias("own"))
-    said = t.join(top, ["qid", "rowid"]).select("qid", "t", F.posexplode("w").alias("pos", "term")).groupBy("qid", "term").agg(F.count("*").alias("tf"), F.min(F.struct("t", "pos")).alias("at"))
-    w = said.join(df, ["qid", "term"]).join(n, "qid").join(own, "qid").filter(~F.array_contains("own", F.col("term")) & (F.col("n") > F.col("df")))
-    w = w.withColumn("weight", F.round(F.col("tf") * F.log((F.col("n") + 1.0) / (F.col("df") + 1)), 9))
-    best = F.row_number().over(W.partitionBy("qid").orderBy(F.col("weight").desc(), "at"))
-    return w.withColumn("place", best).filter(F.col("place") <= terms).select("qid", "term", "place")
+    cell = ["workspace_id", "block"]
+    sample = materialize(spark, sample.join(blocks, "qid").select(*cell, "qid", "rowid", F.col("t.list_no").alias("list_no"), F.col("t.rank").alias("rank")), "sample")
+    here = [F.col(c).alias(c) for c in cell]  # columns apart from those of the sample
+    texts = sample.select(*cell, "rowid").distinct().join(chunks.filter("text is not null").select("rowid", tokens(F.col("text")).alias("w")), "rowid").select(*here, F.lit(False).alias("own"), F.col("rowid").alias("id"), "w")
+    own = questions.filter("question is not null").select("qid", tokens(F.col("question")).alias("w")).join(blocks, "qid").select(*cell, F.lit(True).alias("own"), F.col("qid").alias("id"), "w")
+
+    def best(_, x: pa.Table, y: pa.Table) -> pa.Table:
+        if not len(x) or not len(y):
+            return pa.table({"qid": pa.array([], type=pa.int64()), "term": pa.array([], type=pa.string()), "place": pa.array([], type=pa.int32())})
+        out: list[tuple] = []
+        w = y.column("w").combine_chunks()
+        coded = w.flatten().dictionary_encode()
+        flat, ends, ids, mine = coded.indices.to_numpy(), w.offsets.to_numpy() - w.offsets[0].as_py(), y.column("id").to_numpy(), y.column("own").to_numpy()
+        said = lambda i: flat[ends[i] : ends[i + 1]]
+        once = [np.unique(said(i)) for i in range(len(ids))]
+        texts = {ids[i]: i for i in np.flatnonzero(~mine)}
+        asking: dict[int, list[int]] = {}
+        for i in np.flatnonzero(mine):
+            asking.setdefault(ids[i], []).append(i)
+        x = x.sort_by([("qid", "ascending"), ("list_no", "ascending"), ("rank", "ascending")])  # those beyond the best come last
+        qids, rows = x.column("qid").to_numpy(), [texts.get(r) for r in x.column("rowid").to_numpy()]
+        good = np.asarray(x.column("list_no").is_valid())
+        edges = np.flatnonzero(np.diff(qids, prepend=qids[:1] - 1, append=qids[-1:] + 1))
+        for a, b in zip(edges[:-1], edges[1:]):
+            top = [said(r) for r, g in zip(rows[a:b], good[a:b]) if g and r is not None]
+            if not top or qids[a] not in asking:
+                continue
+            t, at, tf = np.unique(np.concatenate(top), return_index=True, return_counts=True)
+            df = np.bincount(np.concatenate([once[r] for r in rows[a:b] if r is not None]), minlength=len(coded.dictionary))[t]
+            keep = np.concatenate([np.flatnonzero((b - a > df) & ~np.isin(t, once[i])) for i in asking[qids[a]]])
+            weight = np.round(tf[keep] * np.log((b - a + 1.0) / (df[keep] + 1)), 9)
+            keep = keep[np.lexsort((at[keep], -weight))[:terms]]
+            out.append((np.full(len(keep), qids[a]), t[keep], np.arange(1, len(keep) + 1)))
+        qid, term, place = (np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, dtype=np.int64),) * 3
+        return pa.table({"qid": qid, "term": coded.dictionary.take(pa.array(term)), "place": pa.array(place, type=pa.int32())})
+
+    return sample.groupBy(*cell).cogroup(texts.unionByName(own).groupBy(*cell)).applyInArrow(best, "qid bigint, term string, place int")
 
 
 def dense_lists(spark: SparkSession, lists: DataFrame, vectors: DataFrame, scope: DataFrame, k: int = 30) -> DataFrame:
@@ -90,6 +130,20 @@ def dense_lists(spark: SparkSession, lists: DataFrame, vectors: DataFrame, scope
     return exact_knn(spark, asked, inside, k, ("workspace_id", "model_id")).select("qid", "rowid", "rank")
 
 
+def asked_variants(questions: DataFrame, variants: DataFrame) -> DataFrame:
+    """``qid, workspace_id, list_no, question``: what the variants of questions ask besides these."""
+    v = variants.select("qid", "no", F.trim("text").alias("text")).filter("text <> ''").groupBy("qid", "text").agg(F.min("no").alias("no"))
+    return v.join(questions, "qid").filter(F.col("text") != F.trim("question")).select("qid", "workspace_id", (F.col("no") + 2).alias("list_no"), F.col("text").alias("question"))
+
+
+def lexical_lists(spark: SparkSession, asked: DataFrame, chunks: DataFrame, scope: DataFrame, config: Config) -> DataFrame:
+    """``qid, list_no, kind, rowid, rank``: the lexical list of everything asked."""
+    one = asked.withColumn("q", F.struct("qid", "list_no"))
+    found = bm25(spark, one.select(F.col("q").alias("qid"), "workspace_id", "question"), chunks, scope, config.candidates)
+    lexical = found.select("qid.qid", "qid.list_no", "rowid", "rank").withColumn("kind", F.when(F.col("list_no") == 0, "bm25").otherwise("extra"))
+    return materialize(spark, lexical.select("qid", "list_no", "kind", "rowid", "rank"), "lexical")
+
+
 def search_lists(spark: SparkSession, questions: DataFrame, chunks: DataFrame, scope: DataFrame, vectors: DataFrame | None, config: Config, variants: DataFrame | None = None) -> DataFrame:
     """``qid, list_no, kind, rowid, rank``: the lexical and dense list of each question (0, 1) and a lexical list of each variant (from 2 on).
 
@@ -97,16 +151,10 @@ def search_lists(spark: SparkSession, questions: DataFrame, chunks: DataFrame, s
     """
     asked = questions.select("qid", "workspace_id", F.lit(0).alias("list_no"), "question")
     if variants is not None:
-        v = variants.select("qid", "no", F.trim("text").alias("text")).filter("text <> ''").groupBy("qid", "text").agg(F.min("no").alias("no"))
-        v = v.join(questions, "qid").filter(F.col("text") != F.trim("question")).select("qid", "workspace_id", (F.col("no") + 2).alias("list_no"), F.col("text").alias("question"))
-        asked = asked.unionByName(v)
-    none = spark.createDataFrame([], "qid bigint, list_no int, kind string, rowid bigint, rank int")
-    lexical = none
+        asked = asked.unionByName(asked_variants(questions, variants))
+    lexical = spark.createDataFrame([], "qid bigint, list_no int, kind string, rowid bigint, rank int")
     if config.mode != "dense":
-        one = asked.withColumn("q", F.struct("qid", "list_no"))
-        found = bm25(spark, one.select(F.col("q").alias("qid"), "workspace_id", "question"), chunks, scope, config.candidates)
-        lexical = found.select("qid.qid", "qid.list_no", "rowid", "rank").withColumn("kind", F.when(F.col("list_no") == 0, "bm25").otherwise("extra"))
-        lexical = materialize(spark, lexical.select("qid", "list_no", "kind", "rowid", "rank"), "lexical")
+        lexical = lexical_lists(spark, asked, chunks, scope, config)
     if config.mode == "bm25" or vectors is None:
         return lexical
     base = lexical.filter("list_no = 0").select("qid", "rowid", "rank")
@@ -206,7 +254,8 @@ def assemble(rows: list[dict], parents: dict[tuple, dict], named: set[str], prin
     return [dict(r, place=r.get("place")) for r in work.values()]
 
 
-_INFO = "document_id string, chunk_set_id string, label string, parent_label string, kind string, heading string, section_path string, item_number string, char_count int, chars int, precedence int"
+#: What ``retrieve`` returns, by name.
+RETRIEVED = {"qid": pa.int64(), "rowid": pa.int64(), "rrf": pa.float64(), "bm25_rank": pa.int32(), "dense_rank": pa.int32(), "selected": pa.bool_(), "expanded_to": pa.string(), "place": pa.int32()}
 
 
 def retrieve(spark: SparkSession, d: str, config: Config | None = None, variants: DataFrame | None = None, rerank: DataFrame | None = None) -> DataFrame:
@@ -217,37 +266,38 @@ def retrieve(spark: SparkSession, d: str, config: Config | None = None, variants
     """
     config = config or Config()
     questions, chunks, scope = questions_of(spark, d), chunks_of(spark, d), scope_of(spark, d)
+    blocks, cell = by_blocks(spark, questions), ["workspace_id", "block"]
     vectors = materialize(spark, model_vectors(spark, d), "vectors")
-    lists = search_lists(spark, questions, chunks, scope, vectors, config, variants)
-    if config.prf:
-        terms = feedback(lists.filter("list_no < 2"), questions, chunks, config.prf_docs, config.prf_terms)
+    lists = materialize(spark, search_lists(spark, questions, chunks, scope, vectors, config, variants), "lists")
+    if config.prf and config.mode != "dense":
+        # the second round searches what the first has not asked yet; both are written, as each is read several times
+        terms = feedback(spark, lists.filter("list_no < 2"), questions, chunks, blocks, config.prf_docs, config.prf_terms)
         said = terms.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "term"))), lambda x: x["term"]), " ").alias("terms"))
-        more = questions.join(said, "qid").select("qid", F.lit(1000).alias("no"), F.concat("question", F.lit(" "), "terms").alias("text"))
-        lists = search_lists(spark, questions, chunks, scope, vectors, config, more if variants is None else variants.unionByName(more))
-    lists = materialize(spark, lists, "lists")
+        more = asked_variants(questions, questions.join(said, "qid").select("qid", F.lit(1000).alias("no"), F.concat("question", F.lit(" "), "terms").alias("text")))
+        if variants is not None:
+            more = more.join(variants.select("qid", F.trim("text").alias("question")).distinct(), ["qid", "question"], "left_anti").select(more.columns)
+        more = materialize(spark, more, "more")
+        lists = materialize(spark, lists.unionByName(lexical_lists(spark, more, chunks, scope, config)), "lists")
     rank_of = lambda k: F.min(F.when(F.col("kind") == k, F.col("rank"))).alias(f"{k}_rank")
     # written where the plan would grow: what follows reads it several times
-    fused = materialize(spark, rrf(lists, config.rrf_k).join(lists.groupBy("qid", "rowid").agg(rank_of("bm25"), rank_of("dense")), ["qid", "rowid"]), "fused")
-    texts = table(spark, d, "chunks").select("rowid", "heading", "section_path", "item_number", "text").distinct().dropDuplicates(["rowid"])
-    # headings and paths travel only where the section boost reads them
-    full = scope.join(texts.select("rowid", F.length(F.coalesce("text", F.lit(""))).alias("chars"), *[F.col(c) if config.section_boost else F.lit(None).cast("string").alias(c) for c in ("heading", "section_path")]), "rowid")
-    info = full.select("rowid", "document_id", "chunk_set_id", "label", "parent_label", "kind", "heading", "section_path", "item_number", "char_count", "chars", "precedence",
-                       ((F.col("doc_type") == "edital") & (F.col("doc_kind") == "edital_principal")).alias("principal"))
+    fused = lists.groupBy("qid", "rowid").agg(rrf_of(config.rrf_k).alias("rrf"), rank_of("bm25"), rank_of("dense"))
+    fused = materialize(spark, fused.join(blocks, "qid"), "fused")
+    # of the texts only lengths travel, headings and paths only where the section boost reads them
+    texts = table(spark, d, "chunks").select("rowid", F.length(F.coalesce("text", F.lit(""))).alias("chars"), *[F.col(c) if config.section_boost else F.lit(None).cast("string").alias(c) for c in ("heading", "section_path")])
+    info = scope.join(texts.dropDuplicates(["rowid"]), "rowid").select("rowid", "document_id", "chunk_set_id", "label", "parent_label", "kind", "heading", "section_path", "item_number", "char_count", "chars", "precedence",
+                                                                       ((F.col("doc_type") == "edital") & (F.col("doc_kind") == "edital_principal")).alias("principal"))
     info = materialize(spark, info, "info")
-    rows = fused.join(info, "rowid")
+    rows = fused.withColumn("identifier", F.lit(False))
     if config.mode == "hybrid":
         # only candidates of questions that name an identifier meet the texts
         ids = questions.select("qid", F.transform(F.array_distinct(F.regexp_extract_all("question", F.lit(IDENTIFIER), 0)), identifier_pattern).alias("patterns")).filter(F.size("patterns") > 0)
-        hay = texts.select("rowid", F.concat_ws(" ", F.coalesce("item_number", F.lit("")), "text").alias("hay"))
-        named_in = fused.select("qid", "rowid").join(ids, "qid").join(hay, "rowid").filter(F.expr("exists(patterns, p -> rlike(hay, p))")).select("qid", "rowid", F.lit(True).alias("identifier"))
-        rows = rows.join(named_in, ["qid", "rowid"], "left").withColumn("identifier", F.coalesce("identifier", F.lit(False)))
-    else:
-        rows = rows.withColumn("identifier", F.lit(False))
-    rows = materialize(spark, rows, "candidates")
+        hay = table(spark, d, "chunks").select("rowid", F.concat_ws(" ", F.coalesce("item_number", F.lit("")), "text").alias("hay")).dropDuplicates(["rowid"])
+        named_in = fused.select("qid", "rowid").join(ids, "qid").join(hay, "rowid").filter(F.expr("exists(patterns, p -> rlike(hay, p))")).select("qid", "rowid", F.lit(True).alias("identifier")).distinct()
+        rows = fused.join(named_in, ["qid", "rowid"], "left").withColumn("identifier", F.coalesce("identifier", F.lit(False)))
     main = table(spark, d, "documents").filter("status = 'ready' and is_current and doc_type = 'edital' and doc_kind = 'edital_principal'").groupBy("workspace_id").agg(F.count("*").cast("int").alias("mains"))
     per = questions.select("qid", "workspace_id").join(main, "workspace_id", "left").select("qid", F.coalesce("mains", F.lit(0)).alias("mains"))
     named = materialize(spark, named_documents(spark, d).groupBy("qid").agg(F.collect_set("document_id").alias("named")), "named")  # the titles a question names
-    # what stands above a chunk, up to three levels, chunk by chunk; then for each question once
+    # what stands above a chunk, up to three levels, chunk by chunk
     above = info.select("document_id", "chunk_set_id", "label", F.col("rowid").alias("up"), F.col("parent_label").alias("next"))
     level = info.filter("parent_label is not null").select("rowid", "document_id", "chunk_set_id", F.col("parent_label").alias("label"))
     pairs = None
@@ -255,35 +305,46 @@ def retrieve(spark: SparkSession, d: str, config: Config | None = None, variants
         level = level.join(above, ["document_id", "chunk_set_id", "label"])
         pairs = level.select("rowid", "up") if pairs is None else pairs.unionByName(level.select("rowid", "up"))
         level = level.filter("next is not null").select("rowid", "document_id", "chunk_set_id", F.col("next").alias("label"))
-    pairs = materialize(spark, pairs, "above")
-    levels = fused.select("qid", "rowid").join(pairs, "rowid").select("qid", F.col("up").alias("rowid")).distinct().join(info.drop("principal"), "rowid")
-    names = [c.split()[0] for c in _INFO.split(", ")]
-    parents = materialize(spark, levels.groupBy("qid").agg(F.collect_set(F.struct("rowid", *names)).alias("parents")), "parents")
-    grouped = rows.groupBy("qid").agg(F.collect_list(F.struct("rowid", "rrf", "bm25_rank", "dense_rank", "identifier", "principal", *names)).alias("rows"))
+    pairs = materialize(spark, pairs.groupBy("rowid").agg(F.array_sort(F.collect_set("up")).alias("above")), "above")
+    # a block of questions meets what is known of its candidates and of what stands above them, each chunk once
+    own = [F.col(c).alias(c) for c in cell]  # columns apart from those of the candidates
+    met = materialize(spark, fused.select(*cell, "rowid").distinct(), "met")
+    higher = met.join(pairs, "rowid").select(*cell, F.explode("above").alias("rowid"))
+    known = met.unionByName(higher).distinct().join(info, "rowid").join(pairs, "rowid", "left").select(*own, *info.columns, "above")
+    asked = per.join(named, "qid", "left").join(blocks, "qid")
     if rerank is not None:
         scored = rerank.groupBy("qid").agg(F.map_from_entries(F.collect_list(F.struct("rowid", F.col("score").cast("double")))).alias("scores"))
-        grouped = grouped.join(scored, "qid", "left")
+        asked = asked.join(scored, "qid", "left")
     else:
-        grouped = grouped.withColumn("scores", F.lit(None).cast("map<bigint,double>"))
-    all_ = grouped.join(per, "qid").join(named, "qid", "left").join(parents, "qid", "left")
+        asked = asked.withColumn("scores", F.lit(None).cast("map<bigint,double>"))
+    found = rows.unionByName(asked, allowMissingColumns=True)  # a question's own row has no rowid
     settings = asdict(config)
 
-    def run(batches):
-        for b in batches:
-            out: dict[str, list] = {c: [] for c in ("qid", "rowid", "rrf", "bm25_rank", "dense_rank", "selected", "expanded_to", "place")}
-            for q in b.to_pylist():
-                above = {(p["document_id"], p["chunk_set_id"], p["label"]): p for p in q["parents"] or []}
+    def run(_, x: pa.Table, y: pa.Table) -> pa.Table:
+        out: dict[str, list] = {c: [] for c in RETRIEVED}
+        about = {r["rowid"]: r for r in y.to_pylist()} if len(x) else {}
+        x = x.select(["qid", "rowid", "rrf", "bm25_rank", "dense_rank", "identifier", "mains", "named", "scores"]).sort_by([("qid", "ascending"), ("rowid", "ascending")])
+        qids = x.column("qid").to_numpy()
+        edges = np.flatnonzero(np.diff(qids, prepend=qids[:1] - 1, append=qids[-1:] + 1))
+        for a, b in zip(edges[:-1], edges[1:]):
+            one = x.slice(a, b - a).to_pylist()
+            rows = [about[r["rowid"]] | {c: r[c] for c in ("rrf", "bm25_rank", "dense_rank", "identifier")} for r in one if r["rowid"] in about]
+            if not rows:
+                continue
+            parents = {(p["document_id"], p["chunk_set_id"], p["label"]): p for r in rows for p in map(about.get, r["above"] or []) if p}
+            for q in one:
+                if q["rowid"] is not None:
+                    continue
                 scores = dict(q["scores"]) if q["scores"] else None
                 if scores:  # only the first of the fusion are reranked
-                    first = sorted(q["rows"], key=lambda r: (-round(r["rrf"], 9), r["rowid"]))[: settings["rerank_candidates"]]
+                    first = sorted(rows, key=lambda r: (-round(r["rrf"], 9), r["rowid"]))[: settings["rerank_candidates"]]
                     scores = {r["rowid"]: scores.get(r["rowid"], float("-inf")) for r in first}
-                for r in assemble(q["rows"], above, set(q["named"] or []), q["mains"], settings, scores):
+                for r in assemble(rows, parents, set(q["named"] or []), q["mains"], settings, scores):
                     for c in out:
                         out[c].append(q["qid"] if c == "qid" else r.get(c))
-            yield pa.RecordBatch.from_arrays([pa.array(out["qid"], type=pa.int64()), pa.array(out["rowid"], type=pa.int64()), pa.array(out["rrf"], type=pa.float64()), pa.array(out["bm25_rank"], type=pa.int32()), pa.array(out["dense_rank"], type=pa.int32()),
-                                              pa.array(out["selected"], type=pa.bool_()), pa.array(out["expanded_to"], type=pa.string()), pa.array(out["place"], type=pa.int32())], names=list(out))
+        return pa.table({c: pa.array(out[c], type=t) for c, t in RETRIEVED.items()})
 
-    return all_.mapInArrow(run, "qid bigint, rowid bigint, rrf double, bm25_rank int, dense_rank int, selected boolean, expanded_to string, place int")
+    return found.groupBy(*cell).cogroup(known.groupBy(*cell)).applyInArrow(run, "qid bigint, rowid bigint, rrf double, bm25_rank int, dense_rank int, selected boolean, expanded_to string, place int")
 
 
 @query()
@@ -313,7 +374,7 @@ def question_feedback(spark, d):
     """The feedback terms of each question from its lexical candidates."""
     q, c = questions_of(spark, d), chunks_of(spark, d)
     lists = materialize(spark, bm25(spark, q, c, scope_of(spark, d)).select("qid", F.lit(0).alias("list_no"), "rowid", "rank"), "lists")
-    return feedback(lists, q, c)
+    return feedback(spark, lists, q, c, by_blocks(spark, q))
 
 
 _DENSE = """good as (select chunk_rowid, workspace_id, model_id, embedding, created_at, len(embedding) n from vec0 where chunk_rowid is not null and workspace_id is not null and model_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x)))=0 and len(list_filter(embedding, lambda x: x<>0))>0),

@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -68,26 +68,29 @@ def bm25(spark: SparkSession, questions: DataFrame, chunks: DataFrame, scope: Da
     once = asked.select("qn", "workspace_id", "question").dropDuplicates(["qn"])
     phrases = once.select("qn", "workspace_id", F.explode(query_phrases(F.col("question"))).alias("phrase"))
     # what the questions ask for is written once: its size is known, so it is broadcast where it is small, and only its postings are kept
-    wanted = phrases.select("phrase").distinct().select(F.xxhash64(F.array_join("phrase", " ")).alias("key"), F.size("phrase").alias("size"), F.posexplode("phrase").alias("i", "term"))
+    none = F.array(F.lit(""))  # a sentinel that each row has once: it counts the rows
+    wanted = phrases.select("phrase").distinct().unionByName(spark.range(1).select(none.alias("phrase"))).select(F.xxhash64(F.array_join("phrase", " ")).alias("key"), F.size("phrase").alias("size"), F.posexplode("phrase").alias("i", "term"))
     wanted = materialize(spark, wanted, "wanted")
-    # all that follows of a row stays where its rowid is; a sentinel counts the rows
-    t = chunks.select("rowid", "text", "context_prefix").repartition("rowid").distinct().dropDuplicates(["rowid"]).select("rowid", index_tokens(F.col("text")).alias("t"), index_tokens(F.col("context_prefix")).alias("p"))
+    # all that follows of a row stays where its rowid is, and its text is read once
+    t = chunks.select("rowid", "text", "context_prefix").dropDuplicates(["rowid"]).select("rowid", index_tokens(F.col("text")).alias("t"), index_tokens(F.col("context_prefix")).alias("p"))
     t = t.withColumn("len", F.size("t") + F.size("p"))
-    both = F.concat(F.transform("t", lambda x, i: F.struct(F.lit(WEIGHT_TEXT).alias("weight"), i.alias("pos"), x.alias("term"))), F.transform("p", lambda x, i: F.struct(F.lit(WEIGHT_PREFIX).alias("weight"), i.alias("pos"), x.alias("term"))))
+    both = F.concat(F.transform("t", lambda x, i: F.struct(F.lit(WEIGHT_TEXT).alias("weight"), i.alias("pos"), x.alias("term"))), F.transform("p", lambda x, i: F.struct(F.lit(WEIGHT_PREFIX).alias("weight"), i.alias("pos"), x.alias("term"))), F.array(F.struct(F.lit(WEIGHT_TEXT).alias("weight"), F.lit(-2).alias("pos"), F.lit("").alias("term"))))
     hits = t.select("rowid", "len", F.explode(both).alias("x")).select("rowid", "len", "x.*").join(wanted, "term")
     # the tokens of a phrase must agree on where it begins
     whole = hits.groupBy("rowid", "len", "key", "size", "weight", (F.col("pos") - F.col("i")).alias("at")).agg(F.count("*").alias("c")).filter("c = size")
-    tf = materialize(spark, whole.groupBy("rowid", "len", "key").agg(F.sum("weight").alias("tf")), "tf")
-    stats = t.agg(F.count("*").alias("n_rows"), F.avg("len").alias("avg_len"))  # one row
+    inside = scope.groupBy("rowid").agg(F.collect_set("workspace_id").alias("inside"))
+    tf = materialize(spark, whole.groupBy("rowid", "len", "key").agg(F.sum("weight").alias("tf")).join(inside, "rowid", "left"), "tf")
+    sentinel = F.col("key") == F.xxhash64(F.lit(""))
+    stats = tf.filter(sentinel).agg(F.count("*").alias("n_rows"), F.avg("len").alias("avg_len"))  # one row
+    tf = tf.filter(~sentinel)
     df = tf.groupBy("key").agg(F.count("*").alias("df"))
     raw = F.log((F.col("n_rows") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = materialize(spark, df.join(F.broadcast(stats)).select("key", "avg_len", F.when(raw <= 0, 1e-6).otherwise(raw).alias("idf")), "idf")
     w = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    inside = scope.select("workspace_id", "rowid").distinct()
-    rows, many = inside.groupBy("workspace_id").agg(F.ceil(F.count("*") / BLOCK_OF_TEXTS).alias("blocks")), once.groupBy("workspace_id").agg(F.ceil(F.count("*") / BLOCK_OF_QUESTIONS).alias("asking"))
+    rows, many = scope.select("workspace_id", "rowid").distinct().groupBy("workspace_id").agg(F.ceil(F.count("*") / BLOCK_OF_TEXTS).alias("blocks")), once.groupBy("workspace_id").agg(F.ceil(F.count("*") / BLOCK_OF_QUESTIONS).alias("asking"))
     sizes = materialize(spark, rows.join(many, "workspace_id"), "cells")  # a row a workspace
     block = lambda c, n: F.pmod(F.xxhash64(c), n)
-    weights = tf.join(idf, "key").select("rowid", "key", w.alias("w")).join(inside, "rowid").join(sizes, "workspace_id")
+    weights = tf.join(idf, "key").select("rowid", "key", w.alias("w"), F.explode("inside").alias("workspace_id")).join(sizes, "workspace_id")
     weights = weights.select("workspace_id", block("rowid", F.col("blocks")).alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("asking") - 1)).alias("a"), "rowid", "key", "w")
     keys = phrases.groupBy("qn", "workspace_id").agg(F.collect_set(F.xxhash64(F.array_join("phrase", " "))).alias("keys")).join(sizes, "workspace_id")
     keys = keys.select("workspace_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("b"), block("qn", F.col("asking")).alias("a"), "qn", "keys")
@@ -124,7 +127,7 @@ def bm25(spark: SparkSession, questions: DataFrame, chunks: DataFrame, scope: Da
 def scope_of(spark: SparkSession, d: str) -> DataFrame:
     """Chunks of retrievable documents, without their texts, with what is asked of the document."""
     docs = retrievable(table(spark, d, "documents")).select("document_id", "workspace_id", "precedence", "doc_type", "doc_kind")
-    c = table(spark, d, "chunks").select("rowid", "document_id", "chunk_set_id", "label", "parent_label", "kind", "item_number", "char_count", "embed").distinct()
+    c = table(spark, d, "chunks").select("rowid", "document_id", "chunk_set_id", "label", "parent_label", "kind", "item_number", "char_count", "embed")
     return c.dropDuplicates(["rowid"]).join(docs, "document_id")
 
 
@@ -228,10 +231,15 @@ def knn_search(spark, d):
     return exact_knn(spark, q, v, 10, ("workspace_id", "model_id")).select("qid", "model_id", "rowid", F.round("dist", 5).alias("dist"), "rank")
 
 
-def rrf(lists: DataFrame, k: int = RRF_K) -> DataFrame:
-    """``qid, rowid, rrf``: sum of 1 / (k + rank) over all lists, added in the order of the lists."""
+def rrf_of(k: int = RRF_K) -> Column:
+    """The sum of 1 / (k + rank) over the rows of a group, added in the order of the lists."""
     terms = F.array_sort(F.collect_list(F.struct("list_no", (1.0 / (k + F.col("rank"))).alias("t"))))
-    return lists.groupBy("qid", "rowid").agg(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x["t"]).alias("rrf"))
+    return F.aggregate(terms, F.lit(0.0), lambda a, x: a + x["t"])
+
+
+def rrf(lists: DataFrame, k: int = RRF_K) -> DataFrame:
+    """``qid, rowid, rrf``: reciprocal ranks over all lists."""
+    return lists.groupBy("qid", "rowid").agg(rrf_of(k).alias("rrf"))
 
 
 def select_quota(ranked: DataFrame, principal: DataFrame, top_k: int = TOP_K) -> DataFrame:
